@@ -20,21 +20,27 @@ from plumbline.session import materialize, small
 LEVELS = (24, 14, 13, 13)
 
 
-def sortable_bits(x: Column) -> Column:
-    """The bits of a double as a signed long of the same order. -0.0 is 0.0; NaN is the
-    largest; null stays null. Built from exact arithmetic only, so it stays in the JVM."""
-    a = F.abs(x.cast("double"))
-    guess = F.floor(F.log2(a)).cast("int")
-    e = F.greatest(F.least(guess, F.lit(1023)), F.lit(-1022))
-    ratio = (a / F.pow(F.lit(2.0), (e / 2).cast("int"))) / F.pow(F.lit(2.0), e - (e / 2).cast("int"))
-    e = F.when(ratio >= 2, e + 1).when((ratio < 1) & (e > -1022), e - 1).otherwise(e)
-    ratio = F.when(ratio >= 2, ratio / 2).when((ratio < 1) & (guess >= -1022), ratio * 2).otherwise(ratio)
-    # a normal number's ratio is 1 to 2; a subnormal one, below 1, has the exponent field 0
-    bits = (e + 1022).cast("long") * F.lit(1 << 52) + (ratio * float(1 << 52)).cast("long")
-    inf = F.lit(0x7FF << 52)
-    size = F.when(a == 0, F.lit(0).cast("long")).when(a == float("inf"), inf).otherwise(bits)
-    signed = F.when(x.cast("double") < 0, -size).otherwise(size)
-    return F.when(x.isNull(), F.lit(None).cast("long")).when(F.isnan(x.cast("double")), inf + 1).otherwise(signed)
+def with_sortable_bits(df: DataFrame, column: str, name: str) -> DataFrame:
+    """df with the bits of a double as a signed long of the same order. -0.0 is 0.0; NaN is
+    the largest; null stays null. Exact arithmetic only, so it stays in the JVM; the steps
+    are projections of their own to keep the generated code small."""
+    taken = lambda c: f"_{name}_{c}"
+    a, e, r = F.col(taken("a")), F.col(taken("e")), F.col(taken("r"))
+    x = F.col(column).cast("double")
+    df = df.withColumn(taken("a"), F.when(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(1.0)).otherwise(F.abs(x)))
+    df = df.withColumn(taken("e"), F.floor(F.greatest(F.least(F.log2(a), F.lit(1023.0)), F.lit(-1022.0))).cast("int"))
+    half = (e / 2).cast("int")
+    df = df.withColumn(taken("r"), (a / F.pow(F.lit(2.0), half)) / F.pow(F.lit(2.0), e - half))
+    # the logarithm may be off by one next to a power of two; a subnormal's r stays below 1
+    k = F.col(taken("k"))
+    df = df.withColumn(taken("k"), F.when(r >= 2, 1).when((r < 1) & (e > -1022), -1).otherwise(0))
+    df = df.withColumn(taken("r"), F.when(k == 1, r / 2).when(k == -1, r * 2).otherwise(r)).withColumn(taken("e"), e + k)
+    # (r - 1) * 2**52 is the mantissa under the exponent field e + 1023
+    df = df.withColumn(taken("s"), (e + 1022).cast("long") * F.lit(1 << 52) + (r * float(1 << 52)).cast("long"))
+    s, inf = F.col(taken("s")), F.lit(0x7FF << 52)
+    size = F.when(F.isnan(x), inf + 1).when(F.abs(x) == float("inf"), inf).when(a == 0, F.lit(0).cast("long")).otherwise(s)
+    df = df.withColumn(taken("s"), F.when(a.isNotNull(), size))
+    return df.withColumn(name, F.when((x < 0) & ~F.isnan(x), -s).otherwise(s)).drop(*[taken(c) for c in "aerks"])
 
 
 def from_bits(bits: Column) -> Column:
@@ -53,9 +59,9 @@ def from_bits(bits: Column) -> Column:
 
 def long_form(df: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
     """(keys..., measure, bits): one row per value that isn't null."""
-    values = F.array(*[F.struct(F.lit(m).alias("measure"), sortable_bits(F.col(m)).alias("bits")) for m in measures])
-    rows = df.select(*keys, F.explode(values).alias("v"))
-    return rows.select(*keys, "v.measure", "v.bits").where("bits IS NOT NULL")
+    values = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("x")) for m in measures])
+    rows = df.select(*keys, F.explode(values).alias("v")).select(*keys, "v.measure", "v.x").where("x IS NOT NULL")
+    return with_sortable_bits(rows, "x", "bits").drop("x")
 
 
 def digit_states(rows: DataFrame, keys: list[str], bits: int = 24) -> DataFrame:
