@@ -163,7 +163,7 @@ def pack(items: DataFrame, specs: list[tuple[int, int]]) -> DataFrame:
     table = spark.createDataFrame(pd.concat(plans), "length long, rank_from long, rank_to long, container_from long, each long, spec_id int")
 
     in_bucket = F.row_number().over(W.partitionBy("spec_id", "length", "bucket").orderBy("doc_id", "piece")) - 1
-    ranked = rows.withColumn("r", in_bucket).join(small(offsets), ["spec_id", "length", "bucket"]).withColumn("rank", F.col("offset") + F.col("r"))
+    ranked = rows.withColumn("r", in_bucket).join(offsets, ["spec_id", "length", "bucket"]).withColumn("rank", F.col("offset") + F.col("r"))
     placed = ranked.join(small(table), ["spec_id", "length"]).where("rank >= rank_from AND rank < rank_to")
     container = F.col("container_from") + ((F.col("rank") - F.col("rank_from")) / F.col("each")).cast("long")
     return placed.select("spec_id", container.alias("container_id"), "doc_id", "piece", "from_token", F.col("length").alias("tokens"))
