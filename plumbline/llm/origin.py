@@ -91,10 +91,11 @@ def text_evidence(text: str) -> tuple[list[float], list[int]]:
     long = sum(len(x) for x in filled if len(x) > 160) / size
     code = [x for x in filled if not _COMMENT.match(x)]
     body = "\n".join(code)
-    literal = sum(map(len, _LITERAL.findall(body))) / max(1, len(body))
     calls = body.count("(") / max(1, len(body))
-    blank = (body.count(" ") + body.count("\t")) / max(1, len(body))
-    if literal > 0.55 and calls < 0.002:
+    blanks = body.count(" ") + body.count("\t")
+    blank = blanks / max(1, len(body))
+    literal = sum(map(len, _LITERAL.findall(body))) / max(1, len(body) - blanks)
+    if literal > 0.65 and calls < 0.002:
         score[4] += 8
     elif long > 0.85 and blank < 0.12 and size > 400:
         score[2] += 8

@@ -136,6 +136,7 @@ class Model:
     thresholds: np.ndarray
     cut: float = 0.0  # the score from which on a sentence is topical
     fallback: str | None = None  # the subject of documents that deal with no other
+    ready: bool = True  # False: nothing was learnt, nothing is assigned
     index: dict[str, int] = field(init=False)
 
     def __post_init__(self):
@@ -151,6 +152,8 @@ class Model:
 
     def labels(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Document number and subject number of each case."""
+        if not self.ready or not texts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         doc, scores = self.scores(texts)
         shares, seen = _shares(doc, scores, len(texts), self.cut)
         return np.nonzero(_decide(shares, seen, self.thresholds, self.index.get(self.fallback)))
@@ -195,7 +198,7 @@ def fit(texts: list[str], labels: list[set[str]], weak: list[str | None], subjec
         elif hint in index:
             target[i, index[hint]], weight[i] = 1, weak_weight
     if not weight.any():
-        return Model(subjects, np.zeros((BUCKETS + 1, k), np.float32), np.full(k, 2.0), np.inf, fallback)
+        return Model(subjects, np.zeros((BUCKETS + 1, k), np.float32), np.full(k, 2.0), np.inf, fallback, False)
     sentences = [reasoning(t) for t in texts]
     size = np.array([len(s) for s in sentences])
     doc = np.repeat(np.arange(len(texts)), size)
