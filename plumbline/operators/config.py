@@ -65,7 +65,7 @@ def resolve_settings(settings: DataFrame, dirs: DataFrame) -> tuple[DataFrame, D
     limits...), of which the nearest one for an extension counts as a whole."""
     rows = ancestors(dirs).join(settings.where("valid").drop("depth"), "dir")
     nearest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("depth"))).alias(c)
-    sev = rows.select("*", *[F.get(F.transform(F.array("severities"), lambda m, r=r: F.try_element_at(m, F.lit(r))), F.lit(0)).alias(f"sev_{r.replace('-', '_')}") for r in RULES])
+    sev = rows.select("*", *[F.try_element_at("severities", F.lit(r)).alias(f"sev_{r.replace('-', '_')}") for r in RULES])
     lists = F.transform(F.array_sort(F.collect_list(F.struct("depth", "exclude"))), lambda x: x["exclude"])
     merged = sev.groupBy("target").agg(F.flatten(lists).alias("exclude"), F.bool_or("cross_file").alias("cross_file"), *[nearest(c) for c in DEFAULTS], *[nearest(f"sev_{r.replace('-', '_')}") for r in RULES])
     merged = dirs.select("dir").distinct().join(merged.withColumnRenamed("target", "dir"), "dir", "left")

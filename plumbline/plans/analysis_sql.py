@@ -154,6 +154,7 @@ def _normal(c: str) -> str:
 _CATALOG = ", ".join(
     f"({_s(x.name)}, {_s(e)}, {_s(x.line) if x.line else 'NULL'}, {_s(x.block[0]) if x.block else 'NULL'}, {_s(x.block[1]) if x.block else 'NULL'}, {_s(','.join(x.imports))}, {x.indent})" for x in LANGUAGES for e in x.extensions
 )
+_TYPED = "* REPLACE (" + ", ".join(f"CAST({c} AS {'DOUBLE' if c == 'max_repetition' else 'BIGINT'}) AS {c}" for c in DEFAULTS) + ")"
 _D = "node_modules,vendor,dist,target,__pycache__,build,.git"
 _ONE = lines() + " SELECT "
 
@@ -200,12 +201,12 @@ JOIN fl ON fl.path = dt.path WHERE NOT list_contains(disabled, 'max-repetition')
     "strip_aggressive": _stripped(False),
     "strip_conservative": _stripped(True),
     "normalize_ws": f"SELECT doc_id, {_normal('text')} AS text FROM (SELECT doc_id, replace(any_value(text), chr(160), ' ') AS text FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id)",
-    "cfg_parse": f"""SELECT * FROM (VALUES ('', 0, true, '{_D}', false, 100, 4, NULL, NULL, NULL), ('a', 1, true, 'gen', false, NULL, NULL, NULL, 20.0, NULL), ('a/b', 2, true, '{_D}', true, NULL, NULL, NULL, NULL, 6),
+    "cfg_parse": f"""SELECT {_TYPED} FROM (VALUES ('', 0, true, '{_D}', false, 100, 4, NULL, NULL, NULL), ('a', 1, true, 'gen', false, NULL, NULL, NULL, 20.0, NULL), ('a/b', 2, true, '{_D}', true, NULL, NULL, NULL, NULL, 6),
 ('c', 1, false, NULL, NULL, NULL, NULL, NULL, NULL, NULL), ('d', 1, false, NULL, NULL, NULL, NULL, NULL, NULL, NULL)) t(dir, depth, valid, exclude, cross_file, max_lines, max_depth, max_imports, max_repetition, min_duplicate_lines)""",
-    "cfg_resolve": f"""SELECT * FROM (VALUES ('a/b/c', '{_D},gen,{_D}', true, 100, 4, NULL, 20.0, 6, 'error', NULL, NULL, 'warning'), ('a', '{_D},gen', false, 100, 4, NULL, 20.0, NULL, 'warning', NULL, NULL, NULL),
+    "cfg_resolve": f"""SELECT {_TYPED[:-1]}, CAST(sev_max_imports AS VARCHAR) AS sev_max_imports, CAST(sev_max_repetition AS VARCHAR) AS sev_max_repetition) FROM (VALUES ('a/b/c', '{_D},gen,{_D}', true, 100, 4, NULL, 20.0, 6, 'error', NULL, NULL, 'warning'), ('a', '{_D},gen', false, 100, 4, NULL, 20.0, NULL, 'warning', NULL, NULL, NULL),
 ('c', '{_D}', false, 100, 4, NULL, NULL, NULL, 'warning', NULL, NULL, NULL), ('d/e', '{_D}', false, 100, 4, NULL, NULL, NULL, 'warning', NULL, NULL, NULL), ('', '{_D}', false, 100, 4, NULL, NULL, NULL, 'warning', NULL, NULL, NULL))
 t(dir, exclude, cross_file, max_lines, max_depth, max_imports, max_repetition, min_duplicate_lines, sev_max_lines, sev_max_imports, sev_max_repetition, sev_max_depth)""",
-    "cfg_thresholds": """SELECT * FROM (VALUES ('a/b/c', 'rs', 50, 4, 25, 20.0, 6), ('a/b/c', 'h', 100, 2, 25, 20.0, 6), ('a', 'py', 100, 4, 25, 20.0, 4), ('c', 'rs', 100, 4, 9, 15.0, 4),
+    "cfg_thresholds": f"""SELECT {_TYPED} FROM (VALUES ('a/b/c', 'rs', 50, 4, 25, 20.0, 6), ('a/b/c', 'h', 100, 2, 25, 20.0, 6), ('a', 'py', 100, 4, 25, 20.0, 4), ('c', 'rs', 100, 4, 9, 15.0, 4),
 ('d/e', 'js', 100, 4, 25, 15.0, 4), ('', 'tsx', 100, 4, 25, 15.0, 4)) t(dir, ext, max_lines, max_depth, max_imports, max_repetition, min_duplicate_lines)""",
     "stream_debounce": "SELECT uri, ts FROM (SELECT user_id AS uri, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL) WHERE n IS NULL OR n >= ts + INTERVAL 6 HOUR",
     "stream_open": "SELECT user_id AS uri, ts, event_id FROM events WHERE event_type = 'view'",
