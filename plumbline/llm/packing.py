@@ -70,29 +70,44 @@ def least_squares(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, tar
     return x
 
 
-def plan(lengths: np.ndarray, counts: np.ndarray, capacity: int, window: int | None = None, fan: int = 12) -> list[tuple[dict[int, int], int]]:
+def plan(lengths: np.ndarray, counts: np.ndarray, capacity: int, window: int | None = None, fan: int = 12, shares: tuple[float, ...] = (1.0, 0.9, 0.75, 0.5, 0.25, 0.0)) -> list[tuple[dict[int, int], int]]:
     """(combination, repeats): how all items of a histogram go into containers. Every length
-    is 1 to capacity."""
+    is 1 to capacity. Of the least-squares repeats the share is taken after which greedy
+    packing of the rest needs the fewest containers in all, the largest such share."""
     order = np.argsort(lengths)
-    lengths, left = lengths[order].astype(np.int64), counts[order].astype(np.int64).copy()
+    lengths, counts = lengths[order].astype(np.int64), counts[order].astype(np.int64)
     at = {int(x): i for i, x in enumerate(lengths)}
-    window = max(1, capacity // 100) if window is None else window
-    out: list[tuple[dict[int, int], int]] = []
-    combos = combinations(lengths, capacity, window, fan)
-    if combos:
-        size = np.array([len(c) for c in combos])
-        rows = np.array([at[x] for c in combos for x in c])
-        values = np.array([m for c in combos for m in c.values()], float)
-        x = least_squares(rows, np.repeat(np.arange(len(combos)), size), values, left.astype(float), len(combos))
-        waste = np.array([capacity - sum(k * m for k, m in c.items()) for c in combos])
-        for i in np.lexsort((waste, -np.floor(x))):
-            # what rounding up another combination took may be missing here
-            r = min(int(x[i] + 1e-6), min(int(left[at[k]]) // m for k, m in combos[i].items()))
+    combos = combinations(lengths, capacity, max(1, capacity // 100) if window is None else window, fan)
+    if not combos:
+        return _residuals(lengths, counts, capacity)
+    size = np.array([len(c) for c in combos])
+    rows = np.array([at[x] for c in combos for x in c])
+    values = np.array([m for c in combos for m in c.values()], float)
+    # long items are the hard ones to place, so their counts weigh more
+    weight = (lengths / capacity) ** 2
+    x = least_squares(rows, np.repeat(np.arange(len(combos)), size), values * weight[rows], counts * weight, len(combos))
+    waste = np.array([capacity - sum(k * m for k, m in c.items()) for c in combos])
+    first = np.lexsort((waste, [-max(c) for c in combos]))
+    best: list[tuple[dict[int, int], int]] | None = None
+    for share in shares:
+        left, out = counts.copy(), []
+        for i in first:
+            # what rounding gave other combinations may be missing here
+            r = min(int(share * x[i] + 1e-6), min(int(left[at[k]]) // m for k, m in combos[i].items()))
             if r > 0:
                 out.append((combos[i], r))
                 for k, m in combos[i].items():
                     left[at[k]] -= r * m
-    # residuals: the longest item first, then always the longest that still fits
+        out += _residuals(lengths, left, capacity)
+        if best is None or sum(n for _, n in out) < sum(n for _, n in best):
+            best = out
+    return best
+
+
+def _residuals(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Greedy packing: the longest item first, then always the longest that still fits; a
+    combination is repeated as often as its items last."""
+    left, out = counts.copy(), []
     alive = np.flatnonzero(left)
     while len(alive):
         use: dict[int, int] = {}
