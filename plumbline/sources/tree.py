@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.languages import SUPPORTED
+from plumbline.operators.config import ancestors
 from plumbline.operators.scan import utf8_gate
 from plumbline.sources.tables import extension_of
 
@@ -25,9 +29,24 @@ def read_tree(spark: SparkSession, root: str, exclude: list[str] = ()) -> DataFr
     return rows.select("path", extension_of(F.col("path")).alias("ext"), F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).otherwise("").alias("dir"), "content")
 
 
-def read_settings(spark: SparkSession, root: str, name: str = ".swtrc") -> DataFrame:
-    """(dir, body) of the settings files below root."""
-    base = root.split("://")[-1].rstrip("/") + "/"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name).load(root)
-    path = F.replace(F.regexp_replace(F.col("path"), r"^[a-z0-9]+:/*", "/"), F.lit(base), F.lit(""))
-    return files.select(F.when(path.contains("/"), F.regexp_replace(path, "/[^/]*$", "")).otherwise("").alias("dir"), F.col("content").cast("string").alias("body"))
+def read_settings(dirs: DataFrame, root: str, name: str = ".swtrc") -> DataFrame:
+    """(dir, body) of the settings files in the directories of dirs(dir), relative to root,
+    and in all above them. Spark's readers skip hidden names, so every directory is asked
+    for its file; this runs on the executors, for distinct directories only."""
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            found, bodies = [], []
+            for d in batch.column("dir").to_pylist():
+                try:
+                    with system.open_input_stream("/".join(x for x in (base.rstrip("/"), d, name) if x)) as f:
+                        bodies.append(f.read().decode("utf-8", "replace"))
+                    found.append(d)
+                except FileNotFoundError:
+                    pass
+            yield pa.RecordBatch.from_pydict({"dir": pa.array(found, pa.string()), "body": pa.array(bodies, pa.string())})
+
+    return ancestors(dirs).select("dir").distinct().mapInArrow(fetch, "dir string, body string")
