@@ -61,7 +61,7 @@ def reasoning(text: str) -> list[str]:
 
 
 def chamber(text: str) -> str | None:
-    m = _CHAMBER.search(text[:2000])
+    m = _CHAMBER.search(text)
     return fold(m.group(1)) if m else None
 
 
@@ -260,7 +260,7 @@ def training_rows(documents: DataFrame, labels: DataFrame, limit: int, hints: in
     texts = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     marked = texts.join(sets, "doc_id", "inner").dropDuplicates(["doc_id"]).orderBy(*order).limit(limit)
-    hinted = texts.where(F.substring("text", 1, 2000).rlike(r"(?im)^\s*(chamber|kammer|chambre|section|senat)\s*:")).join(sets, "doc_id", "left_anti")
+    hinted = texts.where(F.col("text").rlike(r"(?im)^\s*(chamber|kammer|chambre|section|senat)\s*:")).join(sets, "doc_id", "left_anti")
     hinted = hinted.dropDuplicates(["doc_id"]).orderBy(*order).limit(hints)
     return marked.unionByName(hinted.withColumn("labels", F.array().cast("array<string>")))
 
