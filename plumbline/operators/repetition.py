@@ -27,12 +27,14 @@ def local_repetition(metrics: DataFrame, window_rows: DataFrame) -> DataFrame:
     return metrics.join(counts, "path", "left").withColumn("repetition", share).drop("repeated")
 
 
-def group_members(window_rows: DataFrame) -> DataFrame:
+def group_members(window_rows: DataFrame, within_file: bool = False) -> DataFrame:
     """(path, start_line, chunk, members, first_path, first_line): the windows whose chunk
-    occurs more than once anywhere, each once, with the size and the first member of its
-    group. A group is counted by aggregation and joined back, never collected."""
-    groups = window_rows.groupBy("chunk").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("path", "start_line")).alias("first")).where("members > 1")
-    joined = window_rows.select("path", "start_line", "chunk").join(groups, "chunk")
+    occurs more than once anywhere (or in their own file), each once, with the size and the
+    first member of its group. A group is counted by aggregation and joined back, never
+    collected."""
+    keys = ["path", "chunk"] if within_file else ["chunk"]
+    groups = window_rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("path", "start_line")).alias("first")).where("members > 1")
+    joined = window_rows.select("path", "start_line", "chunk").join(groups, keys)
     return joined.select("path", "start_line", "chunk", "members", F.col("first.path").alias("first_path"), F.col("first.start_line").alias("first_line"))
 
 

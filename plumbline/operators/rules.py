@@ -14,19 +14,20 @@ RULES = ["max-lines", "max-imports", "max-repetition", "max-depth"]
 
 
 def limits_by_extension(thresholds: DataFrame) -> DataFrame:
-    """thresholds(ext, limits...) without its row `default`, whose values stand in for nulls;
+    """thresholds(ext, limits...) with the values of its row `default` in place of nulls;
     nulls of that row are the built-in ones. One row each."""
-    base = thresholds.where("ext = 'default'").select(*[F.col(c).alias(f"d_{c}") for c in DEFAULTS]).limit(1)
-    rows = thresholds.where("ext IS NOT NULL").join(F.broadcast(base), F.lit(True), "left")
-    return rows.select("ext", *[F.coalesce(c, f"d_{c}", F.lit(v)).alias(c) for c, v in DEFAULTS.items()])
+    rows = thresholds.where("ext IS NOT NULL").select("ext", *DEFAULTS, F.lit("default").alias("_base"))
+    base = rows.where("ext = 'default'").groupBy(F.col("ext").alias("_base")).agg(*[F.first(c).alias(f"d_{c}") for c in DEFAULTS])
+    return rows.join(small(base), "_base", "left").select("ext", *[F.coalesce(c, f"d_{c}", F.lit(v)).alias(c) for c, v in DEFAULTS.items()])
 
 
 def with_limits(files: DataFrame, thresholds: DataFrame) -> DataFrame:
     """files(ext, ...) with the limits for their extension, else those of `default`."""
     limits = limits_by_extension(thresholds)
     named = limits.select(F.col("ext").alias("_key"), *DEFAULTS)
-    default = limits.where("ext = 'default'").select(*[F.col(c).alias(f"d_{c}") for c in DEFAULTS]).limit(1)
-    rows = files.withColumn("_key", settings_extension(F.col("ext"))).join(small(named), "_key", "left").join(F.broadcast(default), F.lit(True), "left")
+    default = limits.where("ext = 'default'").groupBy(F.col("ext").alias("_base")).agg(*[F.first(c).alias(f"d_{c}") for c in DEFAULTS])
+    rows = files.withColumn("_key", settings_extension(F.col("ext"))).withColumn("_base", F.lit("default"))
+    rows = rows.join(small(named), "_key", "left").join(small(default), "_base", "left")
     return rows.select(*files.columns, *[F.coalesce(c, f"d_{c}", F.lit(v)).alias(c) for c, v in DEFAULTS.items()])
 
 

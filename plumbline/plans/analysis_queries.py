@@ -117,8 +117,8 @@ def repetition_global(spark, d):
 
 def duplicates_local(spark, d):
     s = _stored(spark, d)
-    rows = rep.local_details(_windows(s), _files(spark, d), _sizes(s))
-    return rows.select("path", "line", "content", F.explode("occurrences").alias("other_line"))
+    rows = rep.with_snippets(rep.group_members(materialize(_windows(s), "windows"), True), _files(spark, d), _sizes(s))
+    return rows.select("path", F.col("start_line").alias("line"), "members", "first_line", "content")
 
 
 def duplicates_project(spark, d):

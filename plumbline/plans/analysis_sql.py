@@ -171,7 +171,7 @@ SQL = {
     "dup_groups_project": metrics() + " SELECT f.path AS first_path, f.line AS first_line, members FROM gg",
     "repetition_local": metrics() + " SELECT path, round(repetition, 6) AS repetition FROM mt",
     "repetition_global": metrics() + " SELECT path, round(repetition, 6) AS repetition FROM gm",
-    "duplicates_local": metrics() + f", dt AS ({_DETAILS.format(groups='lg', key='path, chunk')}) SELECT dt.path, line, content, o.start_line AS other_line FROM dt JOIN win o ON o.path = dt.path AND o.chunk = dt.chunk AND o.start_line <> line",
+    "duplicates_local": metrics() + f", dt AS ({_DETAILS.format(groups='lg', key='path, chunk')}) SELECT dt.path, line, members, first_line, content FROM dt JOIN lg ON lg.path = dt.path AND lg.chunk = dt.chunk",
     "duplicates_project": metrics() + f", dt AS ({_DETAILS.format(groups='gg', key='chunk')}) SELECT dt.path, line, members, f.path AS first_path, f.line AS first_line, content FROM dt JOIN gg USING (chunk)",
     "file_metrics": metrics() + " SELECT path, ext, lines, imports, depth AS max_depth, round(repetition, 6) AS repetition FROM mt",
     "filter_supported": f"WITH {FILES} SELECT path, ext FROM fs",
