@@ -65,6 +65,7 @@ _VENDORED = re.compile(
     r"copied from the \S+ project|imported from \S+@|send fixes upstream|upstream (?:revision|commit|version)|distributed by the \S+ authors|\(c\) the \S+ contributors|file is part of \S+\.?$|third[- ]party copy"
 )
 _COMMENT = re.compile(r"^\s*(?://|#(?!\s*include|!)|--|/\*|\*|;|<!--|%)")
+_DIGITS = re.compile(r"\d+")
 _LITERAL = re.compile(r"\"[^\"\n]*\"|'[^'\n]*'|\b\d[\w.]*\b")
 #: Lines that identify a file, and how long such a line has to be.
 KEYS, KEY_LENGTH = 8, 24
@@ -102,6 +103,10 @@ def text_evidence(text: str) -> tuple[list[float], list[int]]:
     else:
         score[2] -= 4
         score[4] -= 4
+        # lines that differ in running numbers only, over a whole file: a template filled in
+        shapes = {_DIGITS.sub("#", x.strip()) for x in code}
+        if len(code) >= 40 and len(shapes) < 0.15 * len(code):
+            score[1] += 8
     lead = {x.strip() for x in code if len(x.strip()) >= KEY_LENGTH}
     keys = np.sort(mix64(np.array([hash_line(x) for x in lead], np.uint64), 9))[:KEYS] if lead else []
     return score, [int(k) for k in np.asarray(keys, np.uint64).view(np.int64)] if len(keys) else []
