@@ -259,10 +259,12 @@ def training_rows(documents: DataFrame, labels: DataFrame, limit: int, hints: in
     sets = labels.where("doc_id IS NOT NULL AND subject IS NOT NULL").groupBy("doc_id").agg(F.collect_set(F.lower(F.trim("subject"))).alias("labels"))
     texts = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    marked = texts.join(sets, "doc_id", "inner").dropDuplicates(["doc_id"]).orderBy(*order).limit(limit)
-    hinted = texts.where(F.col("text").rlike(r"(?im)^\s*(chamber|kammer|chambre|section|senat)\s*:")).join(sets, "doc_id", "left_anti")
-    hinted = hinted.dropDuplicates(["doc_id"]).orderBy(*order).limit(hints)
-    return marked.unionByName(hinted.withColumn("labels", F.array().cast("array<string>")))
+    # documents are chosen by id, so that only the texts of the chosen ones are moved
+    marked = texts.select("doc_id").distinct().join(sets, "doc_id").orderBy(*order).limit(limit)
+    hinted = texts.where(F.col("text").rlike(r"(?im)^\s*(chamber|kammer|chambre|section|senat)\s*:")).select("doc_id").distinct()
+    hinted = hinted.join(sets, "doc_id", "left_anti").orderBy(*order).limit(hints)
+    chosen = marked.unionByName(hinted.withColumn("labels", F.array().cast("array<string>")))
+    return texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
 
 
 def classify(documents: DataFrame, model: Model) -> DataFrame:
