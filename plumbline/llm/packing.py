@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from plumbline.session import materialize, small
+from plumbline.session import BROADCAST_LIMIT, materialize
 
 #: Buckets in which the items of a length are ranked.
 BUCKETS = 64
@@ -175,10 +175,14 @@ def pack(items: DataFrame, specs: list[tuple[int, int]]) -> DataFrame:
         own = histogram[histogram.spec_id == s]
         if len(own):
             plans.append(slots(plan(own.length.to_numpy(), own.c.to_numpy(), c)).assign(spec_id=s))
-    table = spark.createDataFrame(pd.concat(plans), "length long, rank_from long, rank_to long, container_from long, each long, spec_id int")
+    planned = pd.concat(plans)
+    table = spark.createDataFrame(planned, "length long, rank_from long, rank_to long, container_from long, each long, spec_id int")
 
     in_bucket = F.row_number().over(W.partitionBy("spec_id", "length", "bucket").orderBy("doc_id", "piece")) - 1
-    ranked = rows.withColumn("r", in_bucket).join(offsets, ["spec_id", "length", "bucket"]).withColumn("rank", F.col("offset") + F.col("r"))
-    placed = ranked.join(small(table), ["spec_id", "length"]).where("rank >= rank_from AND rank < rank_to")
+    ranked = rows.withColumn("r", in_bucket).join(offsets.hint("merge"), ["spec_id", "length", "bucket"]).withColumn("rank", F.col("offset") + F.col("r"))
+    # the plan's size is known here, while the optimizer's estimate of the exploded items is not
+    # to be trusted: it must not broadcast them
+    table = F.broadcast(table) if len(planned) * 96 <= BROADCAST_LIMIT else table.hint("merge")
+    placed = ranked.join(table, ["spec_id", "length"]).where("rank >= rank_from AND rank < rank_to")
     container = F.col("container_from") + ((F.col("rank") - F.col("rank_from")) / F.col("each")).cast("long")
     return placed.select("spec_id", container.alias("container_id"), "doc_id", "piece", "from_token", F.col("length").alias("tokens"))
