@@ -218,20 +218,21 @@ def similar_classes(
     found = []
     for level in range(1, levels + 1):
         count = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        counted = materialize(rows.join(count, "bucket"), "buckets")
+        # exploded rows are more than the optimizer thinks, so none of these may be broadcast
+        counted = materialize(rows.join(count.hint("merge"), "bucket"), "buckets")
         member = F.struct("rec_id", "size", "sketch")
-        near = counted.where(F.col("n") <= limit).join(info.select("rec_id", "size", "sketch"), "rec_id")
+        near = counted.where(F.col("n") <= limit).join(info.select("rec_id", "size", "sketch").hint("merge"), "rec_id")
         near = near.groupBy("bucket").agg(F.collect_list(member).alias("left"))
         found.append(near.select("left", F.array().cast(near.schema["left"].dataType).alias("right"), F.lit(True).alias("same")))
         big = counted.where(F.col("n") > limit)
         if level < levels:
             paths = big.groupBy("rec_id").agg(F.collect_set("bucket").alias("buckets"))
-            rows = src.join(paths, "rec_id").dropDuplicates(["rec_id"]).mapInArrow(_split(width, picks), "bucket long, rec_id long")
+            rows = src.join(paths.hint("merge"), "rec_id").dropDuplicates(["rec_id"]).mapInArrow(_split(width, picks), "bucket long, rec_id long")
             rows = materialize(rows.distinct(), "split")
             continue
         # blocks of about `limit` members; every pair of blocks once
         blocks = F.ceil(F.col("n") / limit)
-        big = big.join(info.select("rec_id", "size", "sketch"), "rec_id").withColumn("block", F.pmod(F.xxhash64("rec_id", "bucket"), blocks))
+        big = big.join(info.select("rec_id", "size", "sketch").hint("merge"), "rec_id").withColumn("block", F.pmod(F.xxhash64("rec_id", "bucket"), blocks))
         other = F.explode(F.sequence(F.lit(0).cast("long"), (blocks - 1).cast("long")))
         tiles = big.select("*", other.alias("o")).select(
             "bucket", F.least("block", "o").alias("x"), F.greatest("block", "o").alias("y"), (F.col("block") <= F.col("o")).alias("first"), member.alias("m")
@@ -246,10 +247,10 @@ def similar_classes(
     pairs = materialize(pairs.mapInArrow(_compare(threshold), "a long, b long").distinct(), "pairs")
 
     wanted = pairs.select(F.col("a").alias("rec_id")).unionByName(pairs.select(F.col("b").alias("rec_id"))).distinct()
-    sets = src.join(wanted, "rec_id", "left_semi").dropDuplicates(["rec_id"]).mapInArrow(_sets(width), "rec_id long, shingles array<long>")
+    sets = src.join(wanted.hint("merge"), "rec_id", "left_semi").dropDuplicates(["rec_id"]).mapInArrow(_sets(width), "rec_id long, shingles array<long>")
     sets = materialize(sets, "sets")
     side = lambda c: sets.select(F.col("rec_id").alias(c), F.col("shingles").alias(f"{c}s"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
     common = F.size(F.array_intersect("as", "bs"))
     similarity = common / (F.size("as") + F.size("bs") - common)
     return members, both.select("a", "b", similarity.alias("similarity")).where(F.col("similarity") >= threshold)
