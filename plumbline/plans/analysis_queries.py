@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -182,41 +184,41 @@ def issues_cross_file(spark, d):
     return rules.issues(_global(_stored(spark, d)))
 
 
-def verdicts(spark, d):
-    return _judged(spark, d)[3].select("path", "issues", "passed")
+def verdicts(spark, d, directed=True):
+    return _judged(spark, d, directed)[3].select("path", "issues", "passed")
 
 
-def project_summary(spark, d):
-    return reports.summary(_judged(spark, d)[3])
+def project_summary(spark, d, directed=True):
+    return reports.summary(_judged(spark, d, directed)[3])
 
 
-def report_ranked(spark, d):
-    return reports.ranked(_judged(spark, d)[3]).select("path", "passed", "issues", "lines")
+def report_ranked(spark, d, directed=True):
+    return reports.ranked(_judged(spark, d, directed)[3]).select("path", "passed", "issues", "lines")
 
 
-def report_quiet(spark, d):
-    _, _, found, judged = _judged(spark, d)
+def report_quiet(spark, d, directed=True):
+    _, _, found, judged = _judged(spark, d, directed)
     return reports.quiet(judged, found)
 
 
-def report_json(spark, d):
-    s, _, found, _ = _judged(spark, d)
+def report_json(spark, d, directed=True):
+    s, _, found, _ = _judged(spark, d, directed)
     return reports.json_report(reports.problems(found))
 
 
-def report_problems(spark, d):
-    s, m, found, _ = _judged(spark, d)
+def report_problems(spark, d, directed=True):
+    s, m, found, _ = _judged(spark, d, directed)
     kept = s.where(~F.array_contains("disabled", "max-repetition"))
-    return reports.problems(found, rep.local_details(_windows(kept), _directed(spark, d), _sizes(kept)))
+    return reports.problems(found, rep.local_details(_windows(kept), _directed(spark, d) if directed else _files(spark, d), _sizes(kept)))
 
 
-def lsp_diagnostics(spark, d):
-    s, m, found, _ = _judged(spark, d)
+def lsp_diagnostics(spark, d, directed=True):
+    s, m, found, _ = _judged(spark, d, directed)
     return reports.diagnostics(found, found.where("rule = 'max-depth'"))
 
 
-def lsp_quickfix(spark, d):
-    return reports.quick_fixes(lsp_diagnostics(spark, d), extension_of(F.col("path")))
+def lsp_quickfix(spark, d, directed=True):
+    return reports.quick_fixes(lsp_diagnostics(spark, d, directed), extension_of(F.col("path")))
 
 
 def lsp_root_filter(spark, d):
@@ -289,5 +291,7 @@ QUERIES = {
         cfg_parse, cfg_resolve, cfg_thresholds, stream_debounce, stream_open,
     )
 }
+# the same over every file as the table has it, without the directives that stand in for real ones
+QUERIES |= {f"{f.__name__}_whole": partial(f, directed=False) for f in (verdicts, project_summary, report_ranked, report_quiet, report_json, report_problems, lsp_diagnostics, lsp_quickfix)}
 
 from plumbline.plans.analysis_sql import SQL  # noqa: E402,F401

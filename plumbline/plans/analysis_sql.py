@@ -211,3 +211,5 @@ t(dir, exclude, cross_file, max_lines, max_depth, max_imports, max_repetition, m
     "stream_debounce": "SELECT uri, ts FROM (SELECT user_id AS uri, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL) WHERE n IS NULL OR n >= ts + INTERVAL 6 HOUR",
     "stream_open": "SELECT user_id AS uri, ts, event_id FROM events WHERE event_type = 'view'",
 }
+_JUDGING = ("verdicts", "project_summary", "report_ranked", "report_quiet", "report_json", "report_problems", "lsp_diagnostics", "lsp_quickfix")
+SQL |= {f"{n}_whole": SQL[n].replace(DIRECTED, FILES) for n in _JUDGING}

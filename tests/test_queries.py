@@ -45,3 +45,9 @@ def test_query_matches_sql(spark, duck, name):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
+
+
+def test_verdicts_of_every_file(spark):
+    paths = {x.path for x in QUERIES["filter_supported"](spark, DATA).collect()}
+    assert {x.path for x in QUERIES["verdicts_whole"](spark, DATA).collect()} == paths
+    assert QUERIES["project_summary_whole"](spark, DATA).first().total == len(paths)
