@@ -2,8 +2,8 @@
 
 Belief propagation over directory trees. Every file has evidence of its own: markers in
 comments at its head and foot (never in strings), the shape of its text, its name, its
-report's lines and repetition, and whether the lines that identify it also stand in files
-of other projects that are known as third-party copies. Every directory has evidence in
+report's lines and repetition, and how many of its long lines also stand in files of other
+projects that are known as third-party copies. Every directory has evidence in
 its name. Labels are then inferred jointly: a file depends on its directory and that on
 its parent, by compatibilities that say how likely a child has which label. As the graph
 is a forest, one pass of messages up and one down give exact marginals; each level is an
@@ -21,7 +21,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.spans import mix64
 from plumbline.session import materialize
 from plumbline.sources.tables import clean_path, project_of
 
@@ -67,12 +66,12 @@ _VENDORED = re.compile(
 _COMMENT = re.compile(r"^\s*(?://|#(?!\s*include|!)|--|/\*|\*|;|<!--|%)")
 _DIGITS = re.compile(r"\d+")
 _LITERAL = re.compile(r"\"[^\"\n]*\"|'[^'\n]*'|\b\d[\w.]*\b")
-#: Lines that identify a file, and how long such a line has to be.
-KEYS, KEY_LENGTH = 8, 24
+#: How long a code line has to be to identify a file.
+KEY_LENGTH = 24
 
 
 def text_evidence(text: str) -> tuple[list[float], list[int]]:
-    """Log scores per label, and the smallest hashes of the file's long code lines."""
+    """Log scores per label, and the hashes of the file's distinct long code lines."""
     score = [0.0] * _K
     lines = text.replace("\r\n", "\n").split("\n")
     filled = [x for x in lines if x.strip()]
@@ -108,8 +107,7 @@ def text_evidence(text: str) -> tuple[list[float], list[int]]:
         if len(code) >= 40 and len(shapes) < 0.15 * len(code):
             score[1] += 8
     lead = {x.strip() for x in code if len(x.strip()) >= KEY_LENGTH}
-    keys = np.sort(mix64(np.array([hash_line(x) for x in lead], np.uint64), 9))[:KEYS] if lead else []
-    return score, [int(k) for k in np.asarray(keys, np.uint64).view(np.int64)] if len(keys) else []
+    return score, np.array([hash_line(x) for x in lead], np.uint64).view(np.int64).tolist()
 
 
 def hash_line(line: str) -> int:
@@ -174,7 +172,7 @@ def file_labels(files: DataFrame, reports: DataFrame | None = None) -> DataFrame
     path = clean_path(F.col("path"))
     seen = materialize(seen.withColumn("path", path).withColumn("dir", F.nullif(F.regexp_replace("path", "/?[^/]*$", ""), F.lit(""))), "evidence")
 
-    # third-party copies: lines that identify files in several projects, some of them known
+    # third-party copies: long lines that files of several projects share, some of them known
     in_vendor = F.coalesce(F.exists(F.split(F.lower("dir"), "/"), lambda x: x.isin(VENDOR_DIRS)), F.lit(False))
     known = (in_vendor | (F.col("score")[3] > 3)).cast("long")
     keyed = seen.select("file_id", project_of(F.col("path")).alias("project"), known.alias("known"), F.explode("keys").alias("key"))

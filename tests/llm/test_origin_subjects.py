@@ -58,6 +58,18 @@ def test_a_directory_speaks_for_its_files(spark):
     assert got[9] == "generated" and got[10] == "handwritten"
 
 
+def test_partial_copies_of_a_library(spark):
+    r = random.Random(5)
+    word = lambda: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=7))
+    code = lambda n: [f"    {word()} = {word()}.{word()}({word()})" for _ in range(n)]
+    library = code(60)
+    rows = [(0, "p/vendor/lib/x.py", "\n".join(library)), (9, "r/src/own.py", "\n".join(code(60)))]
+    for i in range(1, 5):  # half of it each, and own lines around it
+        rows.append((i, f"q{i}/src/half.py", "\n".join(code(10) + r.sample(library, 30) + code(10))))
+    got = labels(spark.createDataFrame(rows, "file_id long, path string, content string"))
+    assert got == {0: "vendored", 1: "vendored", 2: "vendored", 3: "vendored", 4: "vendored", 9: "handwritten"}
+
+
 TERMS = {"tax": ["levy", "duty", "audit", "excise"], "sport": ["referee", "league", "athlete", "doping"], "law": ["service", "costs", "delay"]}
 FRAMES = ["The dispute concerns the {}.", "As to the {}, the claimant replied.", "The expert described the {} in detail."]
 
