@@ -1,9 +1,9 @@
 """Where source files come from: written by hand, generated, minified, vendored, or data.
 
 Belief propagation over directory trees. Every file has evidence of its own: markers in
-comments at its head and foot (never in strings), the shape of its text, its name, its
-report's lines and repetition, and how many of its long lines also stand in files of other
-projects that are known as third-party copies. Every directory has evidence in
+comments, most of all at its head and foot (never in strings), the shape of its text, its
+name, its report's lines and repetition, and how many of its long lines also stand in files
+of other projects that are known as third-party copies. Every directory has evidence in
 its name. Labels are then inferred jointly: a file depends on its directory and that on
 its parent, by compatibilities that say how likely a child has which label. As the graph
 is a forest, one pass of messages up and one down give exact marginals; each level is an
@@ -66,6 +66,8 @@ _VENDORED = re.compile(
 _COMMENT = re.compile(r"^\s*(?://|#(?!\s*include|!)|--|/\*|\*|;|<!--|%)")
 _DIGITS = re.compile(r"\d+")
 _LITERAL = re.compile(r"\"[^\"\n]*\"|'[^'\n]*'|\b\d[\w.]*\b")
+#: Weight of a marker that neither heads nor closes its file, too little to make the file a known copy.
+ASIDE = 3.0
 #: How long a code line has to be to identify a file.
 KEY_LENGTH = 24
 
@@ -79,15 +81,17 @@ def text_evidence(text: str) -> tuple[list[float], list[int]]:
     if not size:
         return score, []
     head = []
-    for x in filled[:60]:
+    for x in filled:
         if not _COMMENT.match(x):
             break
         head.append(x)
     # a marker may also follow the first lines of code or close the file
     notes = [x.lower() for x in [*head, *(x for x in filled[:16] if _COMMENT.match(x)), *(x for x in filled[-3:] if _COMMENT.match(x))]]
     # most such files carry a marker, so that its lack speaks a little against them
-    score[1] += 7 if any(_GENERATED.search(x) for x in notes) else -0.7
-    score[3] += 7 if any(_VENDORED.search(x) for x in notes) else -0.3
+    # one anywhere else may be an aside, and weighs less
+    rest = [x.lower() for x in filled[max(16, len(head)) : -3] if _COMMENT.match(x)]
+    for label, marker, lack in ((1, _GENERATED, -0.7), (3, _VENDORED, -0.3)):
+        score[label] += 7 if any(map(marker.search, notes)) else ASIDE if any(map(marker.search, rest)) else lack
     long = sum(len(x) for x in filled if len(x) > 160) / size
     code = [x for x in filled if not _COMMENT.match(x)]
     body = "\n".join(code)

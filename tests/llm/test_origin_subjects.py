@@ -2,7 +2,8 @@
 
 import random
 
-from plumbline.llm.origin import file_labels
+from plumbline.llm import origin
+from plumbline.llm.origin import file_labels, text_evidence
 from plumbline.llm.subjects import classify, fit, reasoning, training_rows
 
 HAND = "import a\n\ndef run(x):\n    total = compute_the_total(x, 17)\n    return total\n" * 4
@@ -70,6 +71,17 @@ def test_partial_copies_of_a_library(spark):
     assert got == {0: "vendored", 1: "vendored", 2: "vendored", 3: "vendored", 4: "vendored", 9: "handwritten"}
 
 
+def test_markers_anywhere_in_the_comments():
+    licence = "".join(f"# line {i} of the licence\n" for i in range(80))
+    generated, vendored = "# Code generated by tool.\n", "# Copied from the acme project\n"
+    plain = text_evidence(hand(1) + hand(2))[0]
+    assert text_evidence(licence + generated + hand(1))[0][1] == 7
+    assert text_evidence(licence + vendored + hand(1))[0][3] == 7
+    assert text_evidence(hand(1) + generated + hand(2))[0] == [plain[0], origin.ASIDE, *plain[2:]]
+    assert text_evidence(hand(1) + vendored + hand(2))[0] == [*plain[:3], origin.ASIDE, plain[4]]
+    assert text_evidence(hand(1) + generated.replace("# ", "s = ") + hand(2))[0] == plain
+
+
 TERMS = {"tax": ["levy", "duty", "audit", "excise"], "sport": ["referee", "league", "athlete", "doping"], "law": ["service", "costs", "delay"]}
 FRAMES = ["The dispute concerns the {}.", "As to the {}, the claimant replied.", "The expert described the {} in detail."]
 
