@@ -1,20 +1,27 @@
 """Where source files come from: written by hand, generated, minified, vendored, or data.
 
-Belief propagation over directory trees. Every file has evidence of its own: markers in
-comments, most of all at its head and foot (never in strings), the shape of its text, its
-name, its report's lines and repetition, and how many of its long lines also stand in files
-of other projects that are known as third-party copies. Every directory has evidence in
-its name. Labels are then inferred jointly: a file depends on its directory and that on
-its parent, by compatibilities that say how likely a child has which label. As the graph
-is a forest, one pass of messages up and one down give exact marginals; each level is an
-aggregation by directory, so a project with a third of all files is no single task.
+Belief propagation over directory trees. What is seen of a file is a handful of levels:
+markers in its comments by their place (never in strings), how dense its text is, how much
+of it is literals, lines that count up, its name, its report's repetition and lines, and
+how many of its long lines also stand in files of other projects that are known as
+third-party copies. What is seen of a directory is the kind of its name. Labels are
+inferred jointly: a file depends on its directory and that on its parent, by
+compatibilities that say how likely a child has which label; directories that only lead to
+another one are one place with it. As the graph is a forest, one pass of messages up and
+one down give exact marginals; each level is an aggregation by directory, so a project
+with a third of all files is no single task.
+
+How likely a level is under a label, and the compatibilities, are fitted to the data by
+expectation maximization: the marginals of one propagation, summed over all files and
+directories, give the tables of the next. The starting tables below count as WEIGHT
+observations of each label, so that they decide where there is little data only.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +35,7 @@ LABELS = ["handwritten", "generated", "minified", "vendored", "blob"]
 _K = len(LABELS)
 
 # How likely a subdirectory, or a file, has a label (columns, as LABELS) below
-# a directory (rows). Single files stray more than directories do.
+# a directory (rows), to start with. Single files stray more than directories do.
 BELOW = [
     [0.900, 0.030, 0.020, 0.035, 0.015],
     [0.030, 0.940, 0.010, 0.010, 0.010],
@@ -45,6 +52,34 @@ INSIDE = [
 ]
 PRIOR = [0.85, 0.05, 0.03, 0.05, 0.02]
 
+# How likely each level is under each label (rows, as LABELS), to start with.
+_MARKED = [0.001, 0.001, 0.004, 0.994]  # at an end of the file, near one, inside, nowhere
+SEEN = {
+    "generated marker": [_MARKED, [0.45, 0.08, 0.05, 0.42], _MARKED, [0.01, 0.002, 0.004, 0.984], _MARKED],
+    "third-party marker": [_MARKED, _MARKED, [0.05, 0.01, 0.004, 0.936], [0.35, 0.05, 0.03, 0.57], _MARKED],
+    # no, partly, wholly
+    "dense": [[0.969, 0.0305, 0.0005], [0.980, 0.019, 0.001], [0.12, 0.03, 0.85], [0.975, 0.020, 0.005], [0.950, 0.030, 0.020]],
+    "literals": [[0.969, 0.0305, 0.0005], [0.980, 0.015, 0.005], [0.980, 0.015, 0.005], [0.980, 0.0195, 0.0005], [0.12, 0.03, 0.85]],
+    # no, of much repetition by its report, counts up, counts up wholly
+    "repetition": [[0.950, 0.0390, 0.0105, 0.0005], [0.50, 0.15, 0.05, 0.30], [0.940, 0.040, 0.010, 0.010], [0.950, 0.0390, 0.0105, 0.0005], [0.890, 0.060, 0.025, 0.025]],
+    # any, of generated files, of minified files
+    "name": [[0.985, 0.002, 0.013], [0.695, 0.300, 0.005], [0.580, 0.010, 0.410], [0.965, 0.005, 0.030], [0.985, 0.002, 0.013]],
+    # hardly any, some, most of its long lines
+    "copied": [[0.970, 0.029, 0.001], [0.985, 0.014, 0.001], [0.980, 0.010, 0.010], [0.450, 0.100, 0.450], [0.985, 0.010, 0.005]],
+    # any, of a few lines only by its report, where the text could not be read
+    "short": [[0.970, 0.030], [0.970, 0.030], [0.650, 0.350], [0.970, 0.030], [0.960, 0.040]],
+}
+# any, and those of the lists below
+DIRECTORY = [
+    [0.4450, 0.5300, 0.0005, 0.0120, 0.0005, 0.0120],
+    [0.3500, 0.0900, 0.5500, 0.0040, 0.0010, 0.0050],
+    [0.6000, 0.0900, 0.0010, 0.3000, 0.0020, 0.0070],
+    [0.4000, 0.0900, 0.0010, 0.0050, 0.5000, 0.0040],
+    [0.5500, 0.0900, 0.0010, 0.0050, 0.0040, 0.3500],
+]
+#: Observations of each label that the starting tables count as, and the least chance of any level.
+WEIGHT, LEAST = 200.0, 1e-4
+
 # Whole directory names that tools and package managers use, in lower case.
 GENERATED_DIRS = ["generated", "generated-sources", "generated_sources", "__generated__", "autogen", "codegen", "gen", "obj", "target"]
 VENDOR_DIRS = ["vendor", "third_party", "third-party", "thirdparty", "3rdparty", "deps", "pods", "godeps", "_workspace", "node_modules", "bower_components", "external", "extern", "contrib", "jspm_packages", "carthage"]
@@ -64,54 +99,78 @@ _VENDORED = re.compile(
     r"copied from the \S+ project|imported from \S+@|send fixes upstream|upstream (?:revision|commit|version)|distributed by the \S+ authors|\(c\) the \S+ contributors|file is part of \S+\.?$|third[- ]party copy"
 )
 _COMMENT = re.compile(r"^\s*(?://|#(?!\s*include|!)|--|/\*|\*|;|<!--|%)")
-_DIGITS = re.compile(r"\d+")
+_NUMBER = re.compile(r"\d+")
 _LITERAL = re.compile(r"\"[^\"\n]*\"|'[^'\n]*'|\b\d[\w.]*\b")
-#: Weight of a marker that neither heads nor closes its file, too little to make the file a known copy.
-ASIDE = 3.0
+#: Code lines between a marker and the nearer end of its file from which on it is inside.
+NEAR = 16
 #: How long a code line has to be to identify a file.
 KEY_LENGTH = 24
-
-
-def text_evidence(text: str) -> tuple[list[float], list[int]]:
-    """Log scores per label, and the hashes of the file's distinct long code lines."""
-    score = [0.0] * _K
-    lines = text.replace("\r\n", "\n").split("\n")
-    filled = [x for x in lines if x.strip()]
-    size = sum(map(len, filled))
+#: Steps of one in a row that a count takes at least.
+COUNT = 16
+
+
+def _place(hits: list[int], before: list[int], n: int) -> int:
+    """Level of markers, given the code lines before each line and in all."""
+    if not hits:
+        return 3
+    gap = min(min(before[i], n - before[i]) for i in hits)
+    return 0 if gap == 0 else 1 if gap < NEAR else 2
+
+
+def counting(code: list[str]) -> int:
+    """Whether lines that differ in a number which goes up by one run through a text, and
+    whether next to all of its lines are repeated apart from numbers. Lines that come again
+    as they are do not count up."""
+    last: dict[str, list[int]] = {}
+    steps: dict[str, int] = {}
+    most = 0
+    for x in code:
+        if found := _NUMBER.findall(x):
+            shape, numbers = _NUMBER.sub("#", x), [int(n[-18:]) for n in found]
+            up = any(b == a + 1 for a, b in zip(last.get(shape, ()), numbers))
+            steps[shape] = steps.get(shape, 0) + 1 if up else 0
+            most = max(most, steps[shape])
+            last[shape] = numbers
+    if most < COUNT:
+        return 0
+    return 3 if len({_NUMBER.sub("#", x) for x in code}) < 0.15 * len(code) else 2
+
+
+def text_levels(text: str) -> tuple[list[int], list[int]]:
+    """Levels of the first five of SEEN (-1: cannot be told), and the hashes of the file's
+    distinct long code lines. The whole text is looked at."""
+    lines = [x for x in text.replace("\r\n", "\n").split("\n") if x.strip()]
+    size = sum(map(len, lines))
     if not size:
-        return score, []
-    head = []
-    for x in filled:
-        if not _COMMENT.match(x):
-            break
-        head.append(x)
-    # a marker may also follow the first lines of code or close the file
-    notes = [x.lower() for x in [*head, *(x for x in filled[:16] if _COMMENT.match(x)), *(x for x in filled[-3:] if _COMMENT.match(x))]]
-    # most such files carry a marker, so that its lack speaks a little against them
-    # one anywhere else may be an aside, and weighs less
-    rest = [x.lower() for x in filled[max(16, len(head)) : -3] if _COMMENT.match(x)]
-    for label, marker, lack in ((1, _GENERATED, -0.7), (3, _VENDORED, -0.3)):
-        score[label] += 7 if any(map(marker.search, notes)) else ASIDE if any(map(marker.search, rest)) else lack
-    long = sum(len(x) for x in filled if len(x) > 160) / size
-    code = [x for x in filled if not _COMMENT.match(x)]
+        return [-1] * 5, []
+    before, code, notes = [], [], []
+    for i, x in enumerate(lines):
+        before.append(len(code))
+        if _COMMENT.match(x):
+            notes.append((i, x.lower()))
+        else:
+            code.append(x.strip())
+    marks = [_place([i for i, x in notes if m.search(x)], before, len(code)) for m in (_GENERATED, _VENDORED)]
     body = "\n".join(code)
-    calls = body.count("(") / max(1, len(body))
+    chars = max(1, len(body))
     blanks = body.count(" ") + body.count("\t")
-    blank = blanks / max(1, len(body))
+    long = [len(x) for x in lines if len(x) > 160]
+    others = sum(len(x) <= 160 and not _COMMENT.match(x) for x in lines)
     literal = sum(map(len, _LITERAL.findall(body))) / max(1, len(body) - blanks)
-    if literal > 0.65 and calls < 0.002:
-        score[4] += 8
-    elif long > 0.85 and blank < 0.12 and size > 400:
-        score[2] += 8
-    else:
-        score[2] -= 4
-        score[4] -= 4
-        # lines that differ in running numbers only, over a whole file: a template filled in
-        shapes = {_DIGITS.sub("#", x.strip()) for x in code}
-        if len(code) >= 40 and len(shapes) < 0.15 * len(code):
-            score[1] += 8
-    lead = {x.strip() for x in code if len(x.strip()) >= KEY_LENGTH}
-    return score, np.array([hash_line(x) for x in lead], np.uint64).view(np.int64).tolist()
+    # one odd line may hold most of a text, so that lines count as well as characters
+    dense = 0 if sum(long) <= 0.85 * size else 2 if blanks < 0.12 * chars and len(long) >= others else 1
+    plain = body.count("(") < 0.002 * chars
+    rows = sum(map(_mostly_literal, code))
+    # a table opens and closes with a line of its own
+    data = 0 if literal <= 0.65 else 2 if plain and len(code) - rows <= max(2, rows) else 1
+    lead = {x for x in code if len(x) >= KEY_LENGTH}
+    # a table of literals has long lines and few blanks, too, and may count
+    levels = [*marks, 0 if data == 2 else dense, data, 0 if data == 2 else counting(code)]
+    return levels, np.array([hash_line(x) for x in lead], np.uint64).view(np.int64).tolist()
+
+
+def _mostly_literal(line: str) -> bool:
+    return sum(map(len, _LITERAL.findall(line))) > 0.5 * (len(line) - line.count(" "))
 
 
 def hash_line(line: str) -> int:
@@ -122,63 +181,175 @@ def hash_line(line: str) -> int:
 
 def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        scores, keys = [], []
+        levels, keys = [], []
         for text in batch.column("content").to_pylist():
-            s, k = text_evidence(text) if text is not None else ([0.0] * _K, [])
-            scores.append(s)
+            s, k = text_levels(text) if text is not None else ([-1] * 5, [])
+            levels.append(s)
             keys.append(k)
-        cols = {"file_id": batch.column("file_id"), "path": batch.column("path"), "score": pa.array(scores, pa.list_(pa.float64())), "keys": pa.array(keys, pa.list_(pa.int64()))}
+        cols = {"file_id": batch.column("file_id"), "path": batch.column("path"), "levels": pa.array(levels, pa.list_(pa.int32())), "keys": pa.array(keys, pa.list_(pa.int64()))}
         yield pa.RecordBatch.from_pydict(cols)
 
 
-def _vector(prefix: str) -> list[Column]:
-    return [F.col(f"{prefix}{i}") for i in range(_K)]
-
+@dataclass(frozen=True)
+class Tables:
+    """Chances of levels under labels, and of labels of children below labels of parents."""
 
-def _named(columns: list[Column], prefix: str) -> list[Column]:
-    return [c.alias(f"{prefix}{i}") for i, c in enumerate(columns)]
+    seen: tuple[np.ndarray, ...]
+    directory: np.ndarray
+    below: np.ndarray
+    inside: np.ndarray
+    prior: np.ndarray
 
 
-def _logsum(terms: list[Column]) -> Column:
-    top = F.greatest(*terms)
-    total = F.lit(0.0)
-    for t in terms:
-        total = total + F.exp(t - top)
-    return F.log(total) + top
+def _rows(table) -> np.ndarray:
+    t = np.array(table, float)
+    return t / t.sum(-1, keepdims=True)
 
 
-def _up(b: list[Column], table: list[list[float]]) -> list[Column]:
-    """Message to the parent: for each label of the parent the log of the sum over own labels."""
-    return [_logsum([b[x] + math.log(table[y][x]) for x in range(_K)]) for y in range(_K)]
+START = Tables(tuple(_rows(t) for t in SEEN.values()), _rows(DIRECTORY), _rows(BELOW), _rows(INSIDE), _rows(PRIOR))
 
 
-def _down(b: list[Column], table: list[list[float]]) -> list[Column]:
-    """Message to a child, from the parent's belief without what the child sent."""
-    return [_logsum([b[y] + math.log(table[y][x]) for y in range(_K)]) for x in range(_K)]
+def _vector(prefix: str) -> list[Column]:
+    return [F.col(f"{prefix}{i}") for i in range(_K)]
 
 
-def _dir_scores(name: Column) -> list[Column]:
-    low = F.lower(name)
-    hit = lambda names, s: F.when(low.isin(names), F.lit(s)).otherwise(F.lit(0.0))
-    return [hit(SOURCE_DIRS, 1.8), hit(GENERATED_DIRS, 8.0), hit(MINIFIED_DIRS, 1.5), hit(VENDOR_DIRS, 8.0), hit(BLOB_DIRS, 1.5)]
+def _named(columns: list[Column], prefix: str) -> list[Column]:
+    return [c.alias(f"{prefix}{i}") for i, c in enumerate(columns)]
 
 
-def file_labels(files: DataFrame, reports: DataFrame | None = None) -> DataFrame:
+def _scaled(df: DataFrame, source: str, target: str) -> DataFrame:
+    """df with target0.. = exp(source0.. - their maximum `target`top). Steps of their own
+    keep the generated code small."""
+    df = df.withColumn(f"{target}top", F.greatest(*_vector(source)))
+    return df.select("*", *_named([F.exp(c - F.col(f"{target}top")) for c in _vector(source)], target))
+
+
+def _message(df: DataFrame, source: str, target: str, table: np.ndarray) -> DataFrame:
+    """df with target0..: for each row of table the log of the sum over its columns times
+    exp(source)."""
+    df = _scaled(df, source, "_e")
+    sums = [sum((float(table[y][x]) * F.col(f"_e{x}") for x in range(_K)), F.lit(0.0)) for y in range(_K)]
+    return df.select("*", *_named([F.log(s) + F.col("_etop") for s in sums], target)).drop("_etop", *[f"_e{i}" for i in range(_K)])
+
+
+def _unary(levels: Column, tables: tuple[np.ndarray, ...]) -> list[Column]:
+    """Log likelihood of levels under each label; a level of -1 says nothing."""
+    out = []
+    for label in range(_K):
+        parts = [F.coalesce(F.get(F.array(*[F.lit(float(np.log(p))) for p in t[label]]), F.get(levels, F.lit(i))), F.lit(0.0)) for i, t in enumerate(tables)]
+        out.append(sum(parts, F.lit(0.0)))
+    return out
+
+
+def _names_log(chances: np.ndarray) -> Column:
+    """Log likelihood of all of a place's kinds of names."""
+    logs = F.array(*[F.lit(float(np.log(p))) for p in chances])
+    return F.aggregate("levels", F.lit(0.0), lambda a, x: a + F.get(logs, x))
+
+
+def _pair_sums(df: DataFrame, parent: str, child: str, table: np.ndarray) -> np.ndarray:
+    """Expected number of pairs of labels, summed over edges with the beliefs parent0.. and
+    child0.. (logs, each without what the other sent)."""
+    df = _scaled(_scaled(df, parent, "_p"), child, "_c")
+    df = df.select([float(table[y][x]) * F.col(f"_p{y}") * F.col(f"_c{x}") for y in range(_K) for x in range(_K)])
+    names = df.columns
+    df = df.toDF(*[f"j{i}" for i in range(len(names))])
+    df = df.withColumn("total", sum((F.col(c) for c in df.columns), F.lit(0.0)))
+    row = df.agg(*[F.sum(F.col(f"j{i}") / F.col("total")).alias(f"j{i}") for i in range(_K * _K)]).first()
+    return np.array([x or 0.0 for x in row]).reshape(_K, _K)
+
+
+def _level_sums(df: DataFrame, level: Column, tables: tuple[np.ndarray, ...]) -> list[np.ndarray]:
+    """Expected number of each level under each label, of df(r0.., ...); level is an array."""
+    rows = df.select(F.posexplode(level).alias("i", "level"), *_vector("r")).where("level >= 0")
+    sums = [np.zeros_like(t) for t in tables]
+    for x in rows.groupBy("i", "level").agg(*[F.sum(c).alias(f"r{k}") for k, c in enumerate(_vector("r"))]).collect():
+        sums[x.i][:, x.level] = [x[f"r{k}"] for k in range(_K)]
+    return sums
+
+
+def _marginals(df: DataFrame, logs: str) -> DataFrame:
+    df = _scaled(df, logs, "_m")
+    return df.select("*", *_named([c / sum(_vector("_m"), F.lit(0.0)) for c in _vector("_m")], "r")).drop("_mtop", *[f"_m{i}" for i in range(_K)])
+
+
+class _Forest:
+    """files(file_id, path, dir, levels) and dirs(dir, parent, depth, levels)."""
+
+    def __init__(self, files: DataFrame, dirs: DataFrame):
+        self.files, self.dirs = files, dirs
+        self.deepest = dirs.agg(F.max("depth")).first()[0] or 0
+
+    def propagate(self, t: Tables) -> tuple[DataFrame, DataFrame]:
+        """(files, dirs) with the logs f0.. of what is seen, c0.. of what the parent believes
+        without it, and j0.. of both together."""
+        own = materialize(self.files.select("file_id", "path", "dir", "levels", *_named(_unary(F.col("levels"), t.seen), "f")), "files")
+        sent = _message(own.where("dir IS NOT NULL"), "f", "m", t.inside).groupBy("dir").agg(*[F.sum(f"m{i}").alias(f"m{i}") for i in range(_K)])
+        zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+        seen = [_names_log(row) for row in t.directory]
+        dirs = self.dirs.join(sent, "dir", "left").select("dir", "parent", "depth", "levels", *_named([zero(f"m{i}") + s for i, s in enumerate(seen)], "b"))
+        dirs = materialize(dirs, "dirs")
+
+        # b: what is seen at and below a directory; u: what it sends to its parent
+        levels: dict[int, DataFrame] = {}
+        for depth in range(self.deepest, 0, -1):
+            level = dirs.where(F.col("depth") == depth)
+            if depth < self.deepest:
+                below = levels[depth + 1].groupBy(F.col("parent").alias("dir")).agg(*[F.sum(f"u{i}").alias(f"u{i}") for i in range(_K)])
+                level = level.join(below, "dir", "left").select("dir", "parent", "depth", "levels", *_named([F.col(f"b{i}") + zero(f"u{i}") for i in range(_K)], "b"))
+            levels[depth] = materialize(_message(level, "b", "u", t.below), "up")
+        every = None
+        for depth in range(1, self.deepest + 1):
+            level = levels[depth]
+            if depth == 1:
+                level = level.select("*", *_named([F.lit(float(x)) for x in np.log(t.prior)], "c"), *_named([F.lit(float(x)) for x in np.log(t.prior)], "d"))
+            else:
+                above = last.select(F.col("dir").alias("parent"), *_named(_vector("j"), "p"))  # noqa: F821
+                level = level.join(above, "parent").select("*", *_named([F.col(f"p{i}") - F.col(f"u{i}") for i in range(_K)], "c"))
+                level = _message(level, "c", "d", t.below.T)
+            columns = ["dir", "depth", "levels", *[f"{n}{i}" for n in "bc" for i in range(_K)]]
+            last = materialize(level.select(*columns, *_named([F.col(f"b{i}") + F.col(f"d{i}") for i in range(_K)], "j")), "down")
+            every = last if every is None else every.unionByName(last)
+        if every is None:
+            every = dirs.select("dir", "depth", "levels", *_vector("b"), *_named(_vector("b"), "c"), *_named(_vector("b"), "j"))
+
+        joined = _message(own, "f", "m", t.inside).join(every.select("dir", *_named(_vector("j"), "p")), "dir", "left")
+        joined = _message(joined.select("*", *_named([F.col(f"p{i}") - F.col(f"m{i}") for i in range(_K)], "c")), "c", "d", t.inside.T)
+        both = [F.col(f"f{i}") + F.coalesce(F.col(f"d{i}"), F.lit(float(np.log(t.prior[i])))) for i in range(_K)]
+        return joined.select("file_id", "path", "dir", "levels", *_vector("f"), *_vector("c"), *_named(both, "j")), every
+
+    def fit(self, t: Tables) -> Tables:
+        """The tables that the marginals under t suggest, START counting as WEIGHT rows."""
+        files, dirs = self.propagate(t)
+        files = materialize(files, "marginals")
+        blend = lambda sums, start: _rows(np.maximum(_rows(sums + WEIGHT * start), LEAST))
+        seen = _level_sums(_marginals(files, "j"), F.col("levels"), t.seen)
+        names = _marginals(dirs, "j").select(F.explode("levels").alias("level"), *_vector("r"))
+        directory = _level_sums(names, F.array("level"), (t.directory,))[0]
+        inside = _pair_sums(files.where("dir IS NOT NULL"), "c", "f", t.inside)
+        below = _pair_sums(dirs.where("depth > 1"), "c", "b", t.below)
+        roots = _marginals(dirs.where("depth = 1"), "j").agg(*[F.sum(c) for c in _vector("r")]).first()
+        prior = np.array([x or 0.0 for x in roots])
+        return Tables(tuple(blend(s, x) for s, x in zip(seen, START.seen)), blend(directory, START.directory), blend(below, START.below), blend(inside, START.inside), blend(prior, START.prior))
+
+
+def file_labels(files: DataFrame, reports: DataFrame | None = None, rounds: int = 2) -> DataFrame:
     """(file_id, path, label, confidence) of every file of files(file_id, path, content).
 
     reports(file_id, lines, repetition, run_ts) is optional; the latest report of a file
-    counts. Null content leaves a file to its name, its report and its surroundings, a null
-    path (or one without a directory) leaves it to its text. Resent rows count once; rows
-    with a null file_id are left out; other columns are not looked at; an empty table gives
-    no rows. Ties between labels go to the first of LABELS."""
+    counts. `rounds` is how often the tables are fitted. Null content leaves a file to its
+    name, its report and its surroundings, a null path (or one without a directory) leaves
+    it to its text. Resent rows count once; rows with a null file_id are left out; other
+    columns are not looked at; an empty table gives no rows. Ties between labels go to the
+    first of LABELS."""
     seen = files.where("file_id IS NOT NULL").select(F.col("file_id").cast("long"), "path", "content")
-    seen = seen.mapInArrow(_evidence, "file_id long, path string, score array<double>, keys array<long>").dropDuplicates(["file_id"])
+    seen = seen.mapInArrow(_evidence, "file_id long, path string, levels array<int>, keys array<long>").dropDuplicates(["file_id"])
     path = clean_path(F.col("path"))
     seen = materialize(seen.withColumn("path", path).withColumn("dir", F.nullif(F.regexp_replace("path", "/?[^/]*$", ""), F.lit(""))), "evidence")
 
     # third-party copies: long lines that files of several projects share, some of them known
     in_vendor = F.coalesce(F.exists(F.split(F.lower("dir"), "/"), lambda x: x.isin(VENDOR_DIRS)), F.lit(False))
-    known = (in_vendor | (F.col("score")[3] > 3)).cast("long")
+    known = (in_vendor | F.col("levels")[1].isin(0, 1)).cast("long")
     keyed = seen.select("file_id", project_of(F.col("path")).alias("project"), known.alias("known"), F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("project").alias("p"), F.max("project").alias("q"), F.count(F.lit(1)).alias("n"), F.sum("known").alias("votes"))
     shared = shared.where("p <> q AND votes > 0 AND votes >= 0.15 * n").select("key")
@@ -190,57 +361,41 @@ def file_labels(files: DataFrame, reports: DataFrame | None = None) -> DataFrame
         own = own.join(latest, "file_id", "left")
     else:
         own = own.withColumn("repetition", F.lit(None).cast("double")).withColumn("lines", F.lit(None).cast("long"))
-    name = F.coalesce(F.regexp_extract("path", "[^/]*$", 0), F.lit(""))
-    part = F.coalesce(F.col("copied"), F.lit(0)) / F.greatest(F.size("keys"), F.lit(1))
-    flag = lambda cond, s: F.when(F.coalesce(cond, F.lit(False)), F.lit(s)).otherwise(F.lit(0.0))
-    extra = [
-        F.lit(0.0),
-        flag(name.rlike(GENERATED_NAME), 5.0) + flag(F.col("repetition") > 25, 0.5),
-        flag(name.rlike(MINIFIED_NAME), 3.5) + flag(F.col("lines") <= 4, 0.5),
-        flag(part >= 0.4, 7.0),
-        flag(F.lit(False), 0.0),
+    name = F.regexp_extract("path", "[^/]*$", 0)
+    part = F.coalesce(F.col("copied"), F.lit(0)) / F.size("keys")
+    unknown = F.lit(-1)
+    counts, repeats = F.get("levels", F.lit(4)), F.when(F.col("repetition") > 25, 1).when(F.col("repetition").isNotNull(), 0)
+    more = [
+        F.when(counts > 0, counts).otherwise(F.coalesce(repeats, counts)),
+        F.when(name.isNull(), unknown).when(name.rlike(GENERATED_NAME), 1).when(name.rlike(MINIFIED_NAME), 2).otherwise(0),
+        F.when(F.size("keys") == 0, unknown).when(part >= 0.4, 2).when(part >= 0.1, 1).otherwise(0),
+        F.when((counts >= 0) | F.col("lines").isNull(), unknown).when(F.col("lines") <= 4, 1).otherwise(0),
     ]
-    prior = [math.log(p) for p in PRIOR]
-    unary = [F.col("score")[i] + extra[i] for i in range(_K)]
-    own = materialize(own.select("file_id", "path", "dir", *_named(unary, "f")), "files")
+    own = materialize(own.select("file_id", "path", "dir", F.concat(F.slice("levels", 1, 4), F.array(*more)).alias("levels")), "levels")
 
-    # every directory once, with its parent; the message of a file's evidence to it
-    sent = own.where("dir IS NOT NULL").select("dir", *_named(_up(_vector("f"), INSIDE), "m")).groupBy("dir").agg(*[F.sum(f"m{i}").alias(f"m{i}") for i in range(_K)])
+    # the places of the tree are directories that hold files or branch; one that only leads to
+    # another is one place with it, so that the depth is that of the branching
     parts = F.split("dir", "/")
-    ancestors = sent.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("dir")).distinct()
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    base = F.element_at(F.split("dir", "/"), -1)
-    dirs = ancestors.join(sent, "dir", "left").withColumn("depth", F.size(F.split("dir", "/")))
-    dirs = dirs.select("dir", "depth", F.when(F.col("depth") > 1, F.regexp_replace("dir", "/[^/]*$", "")).alias("parent"), *[(zero(f"m{i}") + s).alias(f"b{i}") for i, s in enumerate(_dir_scores(base))])
-    dirs = materialize(dirs, "dirs")
-    deepest = dirs.agg(F.max("depth")).first()[0] or 0
-
-    levels: dict[int, DataFrame] = {}
-    for depth in range(deepest, 0, -1):
-        level = dirs.where(F.col("depth") == depth)
-        if depth < deepest:
-            from_below = levels[depth + 1].select(F.col("parent").alias("dir"), *_vector("u")).groupBy("dir").agg(*[F.sum(f"u{i}").alias(f"u{i}") for i in range(_K)])
-            level = level.join(from_below, "dir", "left").select("dir", "depth", "parent", *[(F.col(f"b{i}") + zero(f"u{i}")).alias(f"b{i}") for i in range(_K)])
-        levels[depth] = materialize(level.select("dir", "depth", "parent", *_vector("b"), *_named(_up(_vector("b"), BELOW), "u")), "up")
-    beliefs: list[DataFrame] = []
-    for depth in range(1, deepest + 1):
-        level = levels[depth]
-        if depth == 1:
-            down = [F.lit(p) for p in prior]
-        else:
-            above = beliefs[-1].select(F.col("dir").alias("parent"), *_named(_vector("b"), "p"))
-            level = level.join(above, "parent")
-            down = _down([F.col(f"p{i}") - F.col(f"u{i}") for i in range(_K)], BELOW)
-        beliefs.append(materialize(level.select("dir", *[(F.col(f"b{i}") + d).alias(f"b{i}") for i, d in enumerate(down)]), "down"))
-    belief = beliefs[0] if beliefs else dirs.select("dir", *_vector("b"))
-    for more in beliefs[1:]:
-        belief = belief.unionByName(more)
-
-    with_dir = own.join(belief, "dir", "left")
-    m = _up(_vector("f"), INSIDE)
-    cavity = materialize(with_dir.select("file_id", "path", *_vector("f"), *[(F.col(f"b{i}") - m[i]).alias(f"c{i}") for i in range(_K)]), "cavity")
-    joint = [F.col(f"f{i}") + F.coalesce(d, F.lit(prior[i])) for i, d in enumerate(_down(_vector("c"), INSIDE))]
-    joint = cavity.select("file_id", "path", *_named(joint, "j"))
-    best = F.greatest(*_vector("j"))
-    label = F.coalesce(*[F.when(F.col(f"j{i}") == best, F.lit(x)) for i, x in enumerate(LABELS)])
-    return joint.select("file_id", "path", label.alias("label"), F.exp(best - _logsum(_vector("j"))).alias("confidence"))
+    depth = F.size(parts)
+    above = lambda n: F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    held = own.where("dir IS NOT NULL").select("dir").distinct()
+    every = held.select(F.explode(above(depth)).alias("at"), "dir").groupBy("at").agg(F.max(F.col("at") == F.col("dir")).alias("holds"))
+    every = materialize(every.select(F.col("at").alias("dir"), "holds"), "directories")
+    branches = every.where(F.instr("dir", "/") > 0).groupBy(F.regexp_replace("dir", "/[^/]*$", "").alias("dir")).agg(F.count(F.lit(1)).alias("n"))
+    places = materialize(every.join(branches, "dir", "left").where("holds OR n > 1").select("dir"), "places")
+    up = places.where(depth > 1).select("dir", F.explode(above(depth - 1)).alias("up")).join(places.withColumnRenamed("dir", "up"), "up")
+    nearest = up.groupBy("dir").agg(F.max_by("up", F.length("up")).alias("parent"), F.count(F.lit(1)).alias("n"))
+    dirs = places.join(nearest, "dir", "left")
+    taken = F.coalesce(F.size(F.split("parent", "/")), F.lit(0))
+    kind = lambda name: F.coalesce(*[F.when(F.lower(name).isin(names), i) for i, names in enumerate((SOURCE_DIRS, GENERATED_DIRS, MINIFIED_DIRS, VENDOR_DIRS, BLOB_DIRS), 1)], F.lit(0))
+    names = F.slice(parts, taken + 1, depth)
+    dirs = dirs.select("dir", (F.coalesce("n", F.lit(0)) + 1).cast("int").alias("depth"), "parent", F.transform(names, kind).alias("levels"))
+    forest = _Forest(own, materialize(dirs, "tree"))
+
+    tables = START
+    for _ in range(rounds):
+        tables = forest.fit(tables)
+    joint = _marginals(forest.propagate(tables)[0], "j")
+    best = F.greatest(*_vector("r"))
+    label = F.coalesce(*[F.when(F.col(f"r{i}") == best, F.lit(x)) for i, x in enumerate(LABELS)])
+    return joint.select("file_id", "path", label.alias("label"), best.alias("confidence"))

@@ -2,8 +2,7 @@
 
 import random
 
-from plumbline.llm import origin
-from plumbline.llm.origin import file_labels, text_evidence
+from plumbline.llm.origin import counting, file_labels, text_levels
 from plumbline.llm.subjects import classify, fit, reasoning, training_rows
 
 HAND = "import a\n\ndef run(x):\n    total = compute_the_total(x, 17)\n    return total\n" * 4
@@ -74,12 +73,39 @@ def test_partial_copies_of_a_library(spark):
 def test_markers_anywhere_in_the_comments():
     licence = "".join(f"# line {i} of the licence\n" for i in range(80))
     generated, vendored = "# Code generated by tool.\n", "# Copied from the acme project\n"
-    plain = text_evidence(hand(1) + hand(2))[0]
-    assert text_evidence(licence + generated + hand(1))[0][1] == 7
-    assert text_evidence(licence + vendored + hand(1))[0][3] == 7
-    assert text_evidence(hand(1) + generated + hand(2))[0] == [plain[0], origin.ASIDE, *plain[2:]]
-    assert text_evidence(hand(1) + vendored + hand(2))[0] == [*plain[:3], origin.ASIDE, plain[4]]
-    assert text_evidence(hand(1) + generated.replace("# ", "s = ") + hand(2))[0] == plain
+    long = "".join(map(hand, range(20, 24)))
+    marks = lambda text: text_levels(text)[0][:2]
+    assert marks(long) == [3, 3]
+    assert marks(licence + generated + hand(1)) == [0, 3] and marks(licence + vendored + hand(1)) == [3, 0]
+    assert marks(hand(1)[:60] + "\n" + generated + long) == [1, 3]
+    assert marks(long + generated + long) == [2, 3] and marks(long + vendored + long) == [3, 2]
+    assert marks(long + generated) == [0, 3]
+    assert marks(long + generated.replace("# ", "s = ") + long) == [3, 3]
+
+
+def test_counting_lines_are_no_plain_repetition():
+    filled = [f"register_{i:03d}(table, {i});" for i in range(60)]
+    assert counting([x for line in filled for x in (line, "flush(table);")]) == 3
+    assert counting(filled + [f"own_{chr(97 + i % 26)}{chr(97 + i // 26)}(x);" for i in range(60)]) == 2
+    assert counting(["register_001(table, 1);", "flush(table);"] * 200) == 0
+    assert counting([f"case {i}: return {i};" for i in range(8)]) == 0
+    assert counting([]) == 0
+
+
+def test_levels_of_shapes():
+    odd = hand(1) + "s = '" + "abc-" * 900 + "'\n"
+    assert text_levels(odd)[0][2:4] == [1, 1]
+    assert text_levels("# licence\n" * 30 + "function a(b){return b.c(d)}" * 60)[0][2:4] == [2, 0]
+    assert text_levels("t = [\n" + "    123, 456, 789, 1011,\n" * 60 + "]\n")[0][2:] == [0, 2, 0]
+    assert text_levels("")[0] == text_levels(" \n\n")[0] == [-1] * 5
+
+
+def test_tables_are_fitted_to_the_data(spark):
+    # a wording of names that means nothing by itself: files ending so are those with markers
+    rows = [(i, f"p{i % 40}/app/f{i}.py", ("# @generated by tool\n" if i % 4 == 0 else "") + hand(i)) for i in range(400)]
+    df = spark.createDataFrame(rows, "file_id long, path string, content string")
+    got = labels(df)
+    assert {i for i, x in got.items() if x == "generated"} == {i for i in range(0, 400, 4)}
 
 
 TERMS = {"tax": ["levy", "duty", "audit", "excise"], "sport": ["referee", "league", "athlete", "doping"], "law": ["service", "costs", "delay"]}
