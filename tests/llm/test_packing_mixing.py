@@ -6,6 +6,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from plumbline.llm import packing
 from plumbline.llm.mixing import flight, landing, mix, mix_rates, mix_shares
 from plumbline.llm.packing import pack, plan
 from plumbline.llm.tokens import Counter, token_counts
@@ -28,7 +29,7 @@ def test_plan_packs_all_and_no_worse_than_first_fit(seed):
     r = random.Random(seed)
     items = [r.choice([r.randint(1, 100), r.randint(30, 60), 33]) for _ in range(3000)]
     lengths, counts = np.unique(items, return_counts=True)
-    out = plan(lengths, counts, 100)
+    out, greedy = plan(lengths, counts, 100)
     used = defaultdict(int)
     for combo, n in out:
         assert n > 0 and sum(x * m for x, m in combo.items()) <= 100
@@ -36,9 +37,23 @@ def test_plan_packs_all_and_no_worse_than_first_fit(seed):
             used[x] += m * n
     assert dict(used) == dict(zip(lengths.tolist(), counts.tolist()))
     assert sum(n for _, n in out) <= first_fit(items, 100) * 1.01 + 1
+    assert greedy <= 0.2 * len(items)
 
 
-def test_pack_splits_only_what_exceeds_the_capacity(spark):
+def test_plans_of_odd_histograms():
+    for lengths, counts in (([7], [1]), ([100], [5]), ([51], [999]), ([1], [12345]), ([99, 2], [3, 4]), ([50], [3]), ([33, 34, 67], [10, 10, 10])):
+        out, _ = plan(np.array(lengths), np.array(counts), 100)
+        used = defaultdict(int)
+        for combo, n in out:
+            assert sum(x * m for x, m in combo.items()) <= 100
+            for x, m in combo.items():
+                used[x] += m * n
+        assert dict(used) == dict(zip(lengths, counts))
+
+
+@pytest.mark.parametrize("ranks", [1 << 14, 4])
+def test_pack_splits_only_what_exceeds_the_capacity(spark, monkeypatch, ranks):
+    monkeypatch.setattr(packing, "RANKS", ranks)
     r = random.Random(1)
     docs = [(i, r.choice([0, None, 7, 7, 7, r.randint(1, 350)]), "x", 1) for i in range(800)] + [(None, 5, "x", 1)]
     df = spark.createDataFrame(docs, "doc_id long, tokens long, spec_id string, rank int")
