@@ -31,5 +31,23 @@ def fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return total.join(specs, "spec_id").withColumn("filled", F.col("tokens") / (F.col("containers") * F.col("capacity")))
 
 
-QUERIES = {"p6_containers": containers, "p6_fill": fill}
-SQL: dict[str, str] = {}
+def violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per spec the documents packed, and what must not be: containers beyond the capacity,
+    documents in pieces that would fit whole, and documents whose tokens do not add up."""
+    placed = materialize(containers(spark, sf_dir), "placed")
+    specs = table(spark, sf_dir, "pack_specs").where("capacity > 0").select("spec_id", "capacity").distinct()
+    full = placed.groupBy("spec_id", "container_id").agg(F.sum("tokens").alias("n")).join(specs, "spec_id")
+    full = full.groupBy("spec_id").agg(F.count_if(F.col("n") > F.col("capacity")).alias("overfull"))
+    docs = placed.groupBy("spec_id", "doc_id").agg(F.sum("tokens").alias("n"), F.count(F.lit(1)).alias("pieces"))
+    docs = docs.join(specs, "spec_id").join(sized_documents(spark, sf_dir).select("doc_id", F.col("tokens").alias("size")), "doc_id", "left")
+    docs = docs.groupBy("spec_id").agg(
+        F.count(F.lit(1)).alias("documents"), F.count_if((F.col("pieces") > 1) & (F.col("n") <= F.col("capacity"))).alias("split"), F.count_if(~F.col("n").eqNullSafe(F.col("size"))).alias("changed")
+    )
+    return docs.join(full, "spec_id").select("spec_id", "documents", "overfull", "split", "changed")
+
+
+QUERIES = {"p6_containers": containers, "p6_fill": fill, "p6_violations": violations}
+SQL = {
+    "p6_violations": """SELECT spec_id, documents, 0::BIGINT AS overfull, 0::BIGINT AS split, 0::BIGINT AS changed FROM (SELECT DISTINCT spec_id FROM pack_specs WHERE capacity > 0),
+(SELECT count(DISTINCT doc_id) AS documents FROM documents WHERE length(text) > 0)"""
+}
