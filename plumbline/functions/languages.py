@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,24 +37,32 @@ LANGUAGES = [
 # Extensions whose settings are those of another one.
 SETTINGS_OF = {"mjs": "js", "cjs": "js", "tsx": "ts", "c": "cpp", "h": "cpp", "hpp": "cpp", "cc": "cpp", "cxx": "cpp", "hh": "cpp", "hxx": "cpp"}
 
-SUPPORTED = sorted(e for x in LANGUAGES for e in x.extensions)
 
 
-def catalog(spark: SparkSession, extra: list[Language] = ()) -> DataFrame:
+def supported(languages: Sequence[Language] = LANGUAGES) -> list[str]:
+    """The extensions of the languages, sorted."""
+    return sorted(e for x in languages for e in x.extensions)
+
+
+SUPPORTED = supported()
+
+
+def catalog(spark: SparkSession, languages: Sequence[Language] = LANGUAGES) -> DataFrame:
     """(name, ext, line_comment, block_open, block_close, import_keywords, indent_size), one
-    row per extension. Another language is one more entry in extra."""
-    rows = [(x.name, e, x.line, x.block and x.block[0], x.block and x.block[1], list(x.imports), x.indent) for x in [*LANGUAGES, *extra] for e in x.extensions]
+    row per extension. Another language is one more entry in languages, which the scanner,
+    the stripper and the reports take, too."""
+    rows = [(x.name, e, x.line, x.block and x.block[0], x.block and x.block[1], list(x.imports), x.indent) for x in languages for e in x.extensions]
     return spark.createDataFrame(rows, "name string, ext string, line_comment string, block_open string, block_close string, import_keywords array<string>, indent_size int")
 
 
-def pick(ext: Column, value) -> Column:
+def pick(ext: Column, value, languages: Sequence[Language] = LANGUAGES) -> Column:
     """A literal per language: value(language), null for extensions without one."""
     out = None
-    for x in LANGUAGES:
+    for x in languages:
         v = value(x)
         lit = F.array(*map(F.lit, v)) if isinstance(v, (list, tuple)) else F.lit(v)
         out = F.when(ext.isin(*x.extensions), lit) if out is None else out.when(ext.isin(*x.extensions), lit)
-    return out
+    return F.lit(None) if out is None else out
 
 
 def settings_extension(ext: Column) -> Column:

@@ -10,11 +10,12 @@ comments before line comments.
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from plumbline.functions.languages import Language, pick
+from plumbline.functions.languages import LANGUAGES, Language, pick
 
 # \x01 stands for a comment or string, \x02 for a newline that an escape swallows, \x03 for
 # the end of a token that began on an earlier line.
@@ -35,15 +36,15 @@ def scanner_pattern(x: Language) -> str:
     return "|".join(p for p in (x.line and re.escape(x.line) + r"[^\n]*+", _block(x), _STRINGS, _plain(x)) if p)
 
 
-def _tokens(content: Column, ext: Column, pattern, default: str) -> Column:
+def _tokens(content: Column, ext: Column, pattern, default: str, languages: Sequence[Language]) -> Column:
     clean = F.regexp_replace(content, "[\x01\x02\x03]", "")
-    rx = F.coalesce(pick(ext, pattern), F.lit(default))
+    rx = F.coalesce(pick(ext, pattern, languages), F.lit(default))
     return F.regexp_extract_all(clean, rx, F.lit(0))
 
 
-def scanner_tokens(content: Column, ext: Column) -> Column:
+def scanner_tokens(content: Column, ext: Column, languages: Sequence[Language] = LANGUAGES) -> Column:
     """Tokens of a text; for unknown languages only strings are recognised."""
-    return _tokens(content, ext, scanner_pattern, _STRINGS + r"|[^\"'`]++|[\s\S]")
+    return _tokens(content, ext, scanner_pattern, _STRINGS + r"|[^\"'`]++|[\s\S]", languages)
 
 
 def _starts(token: Column, prefix: Column) -> Column:
@@ -108,31 +109,36 @@ _JSX = r"\{\s*/\*[\s\S]*?(?:\*/(?:\s*\})?|\z)"
 _DOCS = r"///[^\n]*+|//![^\n]*+|/\*\*(?!/)[\s\S]*?(?:\*/|\z)"
 
 
-def strip_pattern(x: Language, jsx: bool, keep_docs: bool) -> str:
+def strip_pattern(x: Language, jsx: bool, keep_docs: bool, swallow: bool = False) -> str:
     opener = _JSX if jsx else None
     docs = _DOCS if keep_docs and x.line == "//" else None
-    parts = (_STRINGS, opener, docs, _block(x), x.line and re.escape(x.line) + r"[^\n]*+", _plain(x, "{" if jsx else ""))
+    block = _block(x)
+    if swallow and block:
+        block = rf"{re.escape(x.block[0])}[\s\S]*?(?:{re.escape(x.block[1])}(?:\s*\}})?|\z)"
+    parts = (_STRINGS, opener, docs, block, x.line and re.escape(x.line) + r"[^\n]*+", _plain(x, "{" if jsx else ""))
     return "|".join(p for p in parts if p)
 
 
-def strip_comments(content: Column, ext: Column, aggressive: bool, literal: bool = False) -> Column:
+def strip_comments(content: Column, ext: Column, aggressive: bool, literal: bool = False, languages: Sequence[Language] = LANGUAGES) -> Column:
     """Text without comments, white space normalised; unknown languages stay as they are.
 
     Documentation comments (/**, ///, //!) stay unless aggressive. literal reproduces the
-    plain reading of that test, by which no // or /* comment is removed unless aggressive."""
+    plain reading of that test, by which no // or /* comment is removed unless aggressive,
+    and in jsx and tsx takes the closing brace after any removed block comment with it, not
+    only after one in braces."""
     jsx = ext.isin("jsx", "tsx")
 
     def pattern(with_jsx: bool):
         def of(x: Language) -> str:
             if literal and not aggressive and x.line == "//":
                 return "|".join([_STRINGS, *[_JSX] * with_jsx, r"[^\"'`{]++|[\s\S]"])
-            return strip_pattern(x, with_jsx, not aggressive)
+            return strip_pattern(x, with_jsx, not aggressive, literal and with_jsx)
 
         return of
 
     clean = F.regexp_replace(content, "[\x01\x02\x03]", "")
-    rx = F.when(jsx, pick(ext, pattern(True))).otherwise(pick(ext, pattern(False)))
-    line, block = pick(ext, lambda x: x.line), pick(ext, lambda x: x.block and x.block[0])
+    rx = F.when(jsx, pick(ext, pattern(True), languages)).otherwise(pick(ext, pattern(False), languages))
+    line, block = pick(ext, lambda x: x.line, languages), pick(ext, lambda x: x.block and x.block[0], languages)
     tokens = F.regexp_extract_all(clean, rx, F.lit(0))
     c_like = line == "//"
 
@@ -140,10 +146,13 @@ def strip_comments(content: Column, ext: Column, aggressive: bool, literal: bool
         docs = F.lit(False) if aggressive else c_like & (F.lit(literal) | t.rlike(r"^(///|//!|/\*\*(?!/))"))
         comment = (_starts(t, block) | _starts(t, line)) & ~docs
         jsx_comment = jsx & t.rlike(r"^\{\s*/\*")
-        return F.when(jsx_comment, _newlines(F.regexp_extract(t, r"^\{\s*(/\*[\s\S]*?(?:\*/|\z))", 1))).when(_quoted(t), t).when(comment, _newlines(t)).otherwise(t)
+        # what is taken with a comment up to its brace has no newlines to keep
+        inner = lambda start: _newlines(F.regexp_extract(t, start + r"(/\*[\s\S]*?(?:\*/|\z))", 1))
+        removed = F.when(jsx & _starts(t, block), inner("^")).otherwise(_newlines(t)) if literal else _newlines(t)
+        return F.when(jsx_comment, inner(r"^\{\s*")).when(_quoted(t), t).when(comment, removed).otherwise(t)
 
     stripped = normalize_whitespace(F.array_join(F.transform(tokens, by_kind), ""))
-    return F.when(pick(ext, lambda x: True).isNotNull(), stripped).otherwise(content)
+    return F.when(pick(ext, lambda x: True, languages).isNotNull(), stripped).otherwise(content)
 
 
 def normalize_whitespace(text: Column) -> Column:

@@ -1,4 +1,5 @@
-"""Hierarchical settings: one JSON text per directory, merged from the root to the leaf."""
+"""Hierarchical settings: one JSON text per directory, merged from the root to the leaf,
+and applied to files."""
 
 from __future__ import annotations
 
@@ -6,7 +7,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.languages import settings_extension
-from plumbline.operators.rules import DEFAULTS, RULES
+from plumbline.operators.rules import DEFAULTS, RULES, severity_column
+from plumbline.operators.scan import is_excluded
+from plumbline.session import materialize, small
 
 # Directories left out where a settings file does not say, and its keys.
 DEFAULT_EXCLUDE = ["node_modules", "vendor", "dist", "target", "__pycache__", "build", ".git"]
@@ -57,27 +60,53 @@ def ancestors(dirs: DataFrame) -> DataFrame:
 
 
 def resolve_settings(settings: DataFrame, dirs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(merged, overrides) of every directory of dirs(dir).
-
-    merged: (dir, exclude, cross_file, limits..., severity of each rule). A limit is the one
-    nearest to the directory that is not the built-in default, else null; exclusions add up
-    from the root to the leaf; cross_file is on if it is anywhere. overrides: (dir, ext,
-    limits...), of which the nearest one for an extension counts as a whole."""
-    rows = ancestors(dirs).join(settings.where("valid").drop("depth"), "dir")
+    """(merged, overrides) of every directory of dirs(dir) that has settings at or above it.
+
+    merged: (dir, broken, exclude, cross_file, limits..., severity of each rule). broken says
+    that the settings of the directory or of one above are not valid, in which case nothing
+    else counts. A limit is the one nearest to the directory that is not the built-in
+    default, else null; exclusions add up from the root to the leaf; cross_file is on if it
+    is anywhere. overrides: (dir, ext, limits...), of which the nearest one for an extension
+    counts as a whole."""
+    rows = ancestors(dirs).join(small(settings.drop("depth")), "dir")
     nearest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("depth"))).alias(c)
-    sev = rows.select("*", *[F.try_element_at("severities", F.lit(r)).alias(f"sev_{r.replace('-', '_')}") for r in RULES])
+    columns = [severity_column(r) for r in RULES]
+    sev = rows.select("*", *[F.try_element_at("severities", F.lit(r)).alias(c) for r, c in zip(RULES, columns)])
     lists = F.transform(F.array_sort(F.collect_list(F.struct("depth", "exclude"))), lambda x: x["exclude"])
-    merged = sev.groupBy("target").agg(F.flatten(lists).alias("exclude"), F.bool_or("cross_file").alias("cross_file"), *[nearest(c) for c in DEFAULTS], *[nearest(f"sev_{r.replace('-', '_')}") for r in RULES])
-    merged = dirs.select("dir").distinct().join(merged.withColumnRenamed("target", "dir"), "dir", "left")
-    each = rows.select("target", "depth", F.explode("overrides").alias("ext", "limits"))
+    merged = sev.groupBy("target").agg(F.bool_or(~F.col("valid")).alias("broken"), F.flatten(lists).alias("exclude"), F.bool_or("cross_file").alias("cross_file"), *[nearest(c) for c in [*DEFAULTS, *columns]])
+    each = rows.where("valid").select("target", "depth", F.explode("overrides").alias("ext", "limits"))
     overrides = each.groupBy("target", "ext").agg(F.max_by("limits", "depth").alias("l")).select(F.col("target").alias("dir"), "ext", "l.*")
-    return merged, overrides
+    return merged.withColumnRenamed("target", "dir"), overrides
+
+
+def config_errors(settings: DataFrame, files: DataFrame) -> DataFrame:
+    """(dir, files): the directories whose settings are not valid, and how many of files(dir,
+    ...) lie in or below them. These files are not analysed."""
+    broken = settings.where("NOT valid").select("dir")
+    counts = files.groupBy(F.col("dir").alias("target")).agg(F.count(F.lit(1)).alias("n"))
+    below = ancestors(counts.select(F.col("target").alias("dir"))).join(small(broken), "dir").join(counts, "target").groupBy("dir").agg(F.sum("n").alias("files"))
+    return broken.join(below, "dir", "left").select("dir", F.coalesce("files", F.lit(0)).alias("files"))
+
+
+def apply_settings(files: DataFrame, settings: DataFrame) -> DataFrame:
+    """files(path, ext, dir, ...) with the limits, cross_file and severities that hold for
+    them: the override for the extension, else the merged limit of the directory, else the
+    built-in one. Files at or below a directory with settings that are not valid, and files
+    whose path holds an exclusion, are left out; see config_errors.
+
+    Settings are resolved for distinct directories. files should have no texts, which a
+    join with many directories would shuffle."""
+    merged, overrides = resolve_settings(settings, files.select("dir").distinct())
+    merged, overrides = materialize(merged, "merged"), materialize(overrides, "overrides")
+    return settings_of_files(files, merged, overrides)
 
 
 def settings_of_files(files: DataFrame, merged: DataFrame, overrides: DataFrame) -> DataFrame:
-    """files(dir, ext, ...) with its limits: the override for its extension, else the merged
-    limit of its directory, else the built-in one."""
-    limits = list(DEFAULTS)
-    over = overrides.select(F.col("dir"), F.col("ext").alias("_key"), *[F.col(c).alias(f"o_{c}") for c in limits])
-    rows = files.withColumn("_key", settings_extension(F.col("ext"))).join(merged.select("dir", *limits), "dir", "left").join(over, ["dir", "_key"], "left")
-    return rows.select(*files.columns, *[F.coalesce(f"o_{c}", c, F.lit(v)).alias(c) for c, v in DEFAULTS.items()])
+    """apply_settings with the results of resolve_settings."""
+    limits, columns = list(DEFAULTS), [severity_column(r) for r in RULES]
+    over = overrides.select("dir", F.col("ext").alias("_key"), *[F.col(c).alias(f"_o_{c}") for c in limits])
+    held = merged.select("dir", "broken", F.col("exclude").alias("_exclude"), "cross_file", *limits, *columns)
+    rows = files.withColumn("_key", settings_extension(F.col("ext"))).join(small(held), "dir", "left").join(small(over), ["dir", "_key"], "left")
+    rows = rows.where(~F.coalesce("broken", F.lit(False)) & ~is_excluded(F.col("path"), F.col("_exclude")))
+    resolved = [F.coalesce(f"_o_{c}", c, F.lit(v)).alias(c) for c, v in DEFAULTS.items()]
+    return rows.select(*[c for c in files.columns if c not in limits], *resolved, F.coalesce("cross_file", F.lit(False)).alias("cross_file"), *columns)

@@ -9,8 +9,11 @@ derived from the weighted values. No group is ever collected.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from plumbline.session import materialize
+
 
 def compress_values(df: DataFrame, key: str, value: str, place: str | None = None) -> DataFrame:
     """(key, value, weight, first_place): one row per key and value with the number of
@@ -48,18 +51,23 @@ def key_results(weighted: DataFrame) -> DataFrame:
 def weighted_percentiles(weighted: DataFrame, probs: list[float]) -> DataFrame:
     """(key, p, value): exact percentiles per key (the smallest value whose cumulative
     weight reaches p of the key's weight), from the rows of compress_values. Null values
-    are left out. The window runs over distinct values, not over rows."""
-    from pyspark.sql import Window as W
+    are left out.
 
+    Rows are cut into ranges of (key, value) of about equal size, so that a key with many
+    values is spread over many ranges; weights are summed per range and key, and only the
+    ranges that hold a target are looked into."""
+    rows = weighted.where("value IS NOT NULL").select("key", "value", "weight")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = materialize(rows.repartitionByRange(parts, "key", "value").withColumn("part", F.spark_partition_id()), "ranges")
+    sums = rows.groupBy("key", "part").agg(F.sum("weight").alias("s"))
     by_key = W.partitionBy("key")
-    upto = by_key.orderBy("value").rowsBetween(W.unboundedPreceding, 0)
-    steps = (
-        weighted.where("value IS NOT NULL")
-        .withColumn("upto", F.sum("weight").over(upto))
-        .withColumn("total", F.sum("weight").over(by_key))
-        .withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
-    )
-    return steps.where("upto >= p * total").groupBy("key", "p").agg(F.min("value").alias("value"))
+    sums = sums.withColumn("upto", F.sum("s").over(by_key.orderBy("part").rowsBetween(W.unboundedPreceding, 0))).withColumn("total", F.sum("s").over(by_key))
+    targets = sums.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probs]))).withColumn("want", F.greatest(F.col("p") * F.col("total"), F.lit(1.0)))
+    targets = targets.where((F.col("upto") >= F.col("want")) & (F.col("upto") - F.col("s") < F.col("want")))
+    targets = targets.select("key", "part", "p", (F.col("want") - (F.col("upto") - F.col("s"))).alias("left"))
+    within = W.partitionBy("key", "part").orderBy("value").rowsBetween(W.unboundedPreceding, 0)
+    steps = rows.join(targets.select("key", "part").distinct(), ["key", "part"], "left_semi").withColumn("reached", F.sum("weight").over(within))
+    return steps.join(targets, ["key", "part"]).where("reached >= left").groupBy("key", "p").agg(F.min("value").alias("value"))
 
 
 def heavy_keys(weighted: DataFrame, total: int, least: int, share: float) -> DataFrame:

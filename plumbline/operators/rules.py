@@ -6,13 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.languages import settings_extension
-from plumbline.session import small
+from plumbline.session import fenced, small
 
 # Limits where nothing else is said, and the rules.
 DEFAULTS = {"max_lines": 400, "max_depth": 6, "max_imports": 25, "max_repetition": 15.0, "min_duplicate_lines": 4}
 RULES = ["max-lines", "max-imports", "max-repetition", "max-depth"]
 
 
+def severity_column(rule: str) -> str:
+    return f"sev_{rule.replace('-', '_')}"
+
+
 def limits_by_extension(thresholds: DataFrame) -> DataFrame:
     """thresholds(ext, limits...) with the values of its row `default` in place of nulls;
     nulls of that row are the built-in ones. One row each."""
@@ -35,29 +39,44 @@ def _percent(x: Column) -> Column:
     return F.format_string("%.1f", F.bround(x, 1))
 
 
-def issues(metrics: DataFrame, severities: dict[str, str] | None = None) -> DataFrame:
-    """(path, rule, message, severity, line) of metrics(path, lines, imports, repetition,
-    disabled, limits...). A value at the limit is no issue."""
-    severity = lambda rule: F.lit((severities or {}).get(rule, (severities or {}).get(rule.replace("-", "_"), "error")))
-    found = lambda rule, cond, message: F.when(cond & ~F.array_contains("disabled", rule), F.struct(F.lit(rule).alias("rule"), message.alias("message"), severity(rule).alias("severity")))
-    all_ = F.array(
+def _severity(columns: list[str], severities: dict[str, str] | None, rule: str) -> Column:
+    """The severity in a file's own column, else that of the dictionary, else error."""
+    given = (severities or {}).get(rule, (severities or {}).get(rule.replace("-", "_"), "error"))
+    return F.coalesce(F.col(severity_column(rule)), F.lit(given)) if severity_column(rule) in columns else F.lit(given)
+
+
+def with_issues(measured: DataFrame, severities: dict[str, str] | None = None, depth: bool = True) -> DataFrame:
+    """measured(lines, imports, repetition, depths, disabled, limits...) with `issues`, an
+    array of (rule, message, severity, line), and `passed`, whether none is an error. A value
+    at the limit is no issue; there is one issue for every line that is too deep, with its
+    line. Severities are those of severity_column, where measured has them. depth=False
+    leaves lines out, as the cross-file results have none. Within the row."""
+
+    def issue(rule: str, message: Column, line: Column) -> Column:
+        return F.struct(F.lit(rule).alias("rule"), message.alias("message"), _severity(measured.columns, severities, rule).alias("severity"), line.cast("int").alias("line"))
+
+    allowed = lambda rule: ~F.array_contains("disabled", rule)
+    found = lambda rule, cond, message: F.when(cond & allowed(rule), issue(rule, message, F.lit(None)))
+    whole = F.array(
         found("max-lines", F.col("lines") > F.col("max_lines"), F.format_string("File too long: %d lines (max %d)", "lines", "max_lines")),
         found("max-imports", F.col("imports") > F.col("max_imports"), F.format_string("Too many imports: %d (max %d)", "imports", "max_imports")),
         found("max-repetition", F.col("repetition") > F.col("max_repetition"), F.concat(F.lit("High code repetition: "), _percent(F.col("repetition")), F.lit("% (max "), _percent(F.col("max_repetition")), F.lit("%)"))),
     )
-    return metrics.select("path", F.explode(F.filter(all_, lambda x: x.isNotNull())).alias("i")).select("path", "i.*", F.lit(None).cast("int").alias("line"))
+    issues = F.filter(whole, lambda x: x.isNotNull())
+    if depth:
+        deep = F.filter(F.transform("depths", lambda x, i: F.struct((i + 1).alias("line"), x.alias("depth"))), lambda x: x["depth"] > F.col("max_depth"))
+        each = F.transform(deep, lambda x: issue("max-depth", F.format_string("Excessive nesting: %d levels (max %d)", x["depth"], F.col("max_depth")), x["line"]))
+        issues = F.concat(issues, F.when(allowed("max-depth"), each).otherwise(F.slice(each, 1, 0)))
+    df = measured.withColumn("issues", issues)
+    return fenced(df.withColumn("passed", ~F.exists("issues", lambda x: x["severity"] == "error")), "issues", "passed")
 
 
-def depth_issues(scanned: DataFrame, severity: str = "error") -> DataFrame:
-    """One issue per line deeper than max_depth, of scan_lines' rows with limits and disabled."""
-    deep = F.filter(F.transform("lines", lambda x, i: F.struct((i + 1).alias("line"), x["depth"].alias("depth"))), lambda x: x["depth"] > F.col("max_depth"))
-    rows = scanned.where(~F.array_contains("disabled", "max-depth")).select("path", "max_depth", F.explode(deep).alias("d"))
-    message = F.format_string("Excessive nesting: %d levels (max %d)", "d.depth", "max_depth")
-    return rows.select("path", F.lit("max-depth").alias("rule"), message.alias("message"), F.lit(severity).alias("severity"), "d.line")
+def issue_table(judged: DataFrame) -> DataFrame:
+    """(path, rule, message, severity, line) of with_issues' rows."""
+    return judged.select("path", F.explode_outer("issues").alias("i")).where("i IS NOT NULL").select("path", "i.*")
 
 
-def verdicts(metrics: DataFrame, found: DataFrame) -> DataFrame:
-    """metrics with the number of issues and whether none is an error."""
-    counts = found.groupBy("path").agg(F.count(F.lit(1)).alias("issues"), F.count_if(F.col("severity") == "error").alias("errors"))
-    rows = metrics.join(counts, "path", "left").withColumn("issues", F.coalesce("issues", F.lit(0)))
-    return rows.withColumn("passed", F.coalesce("errors", F.lit(0)) == 0).drop("errors")
+def exit_code(judged: DataFrame) -> DataFrame:
+    """One row: (ok, code); code is 1 if any file fails, 0 if none does or there is none."""
+    failed = F.count_if(~F.col("passed")) > 0
+    return judged.agg((~failed).alias("ok"), failed.cast("int").alias("code"))

@@ -3,12 +3,14 @@ file and without a shuffle."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.languages import SUPPORTED, pick
+from plumbline.functions.languages import LANGUAGES, Language, pick, supported
 from plumbline.functions.lexing import code_text, masked_text, raw_text, scanner_tokens
-from plumbline.sources.tables import clean_path, extension_of
+from plumbline.sources.tables import clean_path, extension_of, first_rows
 
 # The directives, and in how many first lines they are looked for.
 IGNORE_TAG, IGNORE_LINES = "@sweetignore", 10
@@ -17,20 +19,27 @@ DISABLE_TAG, DISABLE_LINES = "@swt-disable", 20
 SMALL_BYTES = 16 * 1024
 
 
-def source_files(files: DataFrame) -> DataFrame:
-    """(path, ext, content) of the files of known languages, each path once. ext is that of
-    the path. Files without a path or content are left out."""
+def directory_of(path: Column) -> Column:
+    """The directory of a path; '' is the root."""
+    return F.when(path.contains("/"), F.regexp_replace(path, "/[^/]*$", "")).otherwise("")
+
+
+def source_files(files: DataFrame, languages: Sequence[Language] = LANGUAGES) -> DataFrame:
+    """(path, ext, dir, content) of a file-based table files(path, content, ...) for the
+    files of the languages, each path once. ext and dir are those of the path. Files without
+    a path or content are left out. Contents are not shuffled; see first_rows."""
     path = clean_path(F.col("path"))
-    rows = files.select(path.alias("path"), extension_of(path).alias("ext"), "content")
-    return rows.where(F.col("ext").isin(SUPPORTED) & F.col("content").isNotNull()).dropDuplicates(["path"])
+    known = extension_of(path).isin(supported(languages)) & F.col("content").isNotNull()
+    rows = first_rows(files, path, known).select(path.alias("path"), "content")
+    return rows.select("path", extension_of(F.col("path")).alias("ext"), directory_of(F.col("path")).alias("dir"), "content")
 
 
 def utf8_gate(files: DataFrame) -> DataFrame:
     """files(path, content BINARY) without small files that are not valid UTF-8; larger ones
-    are kept with the invalid parts replaced. content becomes a string."""
+    are kept with the invalid parts replaced and `flawed` set. content becomes a string."""
     valid = F.is_valid_utf8(F.col("content"))
     kept = files.where(valid | (F.length("content") >= SMALL_BYTES))
-    return kept.withColumn("content", F.make_valid_utf8(F.col("content")))
+    return kept.withColumn("flawed", ~valid).withColumn("content", F.make_valid_utf8(F.col("content")))
 
 
 def first_lines(content: Column, n: int) -> Column:
@@ -41,6 +50,11 @@ def is_ignored(content: Column) -> Column:
     return F.exists(first_lines(content, IGNORE_LINES), lambda x: x.contains(IGNORE_TAG))
 
 
+def is_line_ignored(line: Column) -> Column:
+    """Whether a single line carries the directive. Nothing in the analysis asks for it."""
+    return line.contains(IGNORE_TAG)
+
+
 def disabled_rules(content: Column) -> Column:
     """Distinct lower-cased words after the first directive of each of the first lines."""
 
@@ -52,22 +66,32 @@ def disabled_rules(content: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(first_lines(content, DISABLE_LINES), words)))
 
 
-def is_excluded(path: Column, patterns: list[str]) -> Column:
-    """Whether any pattern occurs anywhere in the path."""
+def directed(files: DataFrame) -> DataFrame:
+    """files without those that say to be ignored, with `disabled`, the rules they disable."""
+    return files.where(~is_ignored(F.col("content"))).withColumn("disabled", disabled_rules(F.col("content")))
+
+
+def is_excluded(path: Column, patterns: list[str] | Column) -> Column:
+    """Whether any pattern, of a list or of an array column, occurs anywhere in the path."""
+    if isinstance(patterns, Column):
+        return F.coalesce(F.exists(patterns, lambda p: path.contains(p)), F.lit(False))
     out = F.lit(False)
     for p in patterns:
         out = out | path.contains(p)
     return out
 
 
-def scan_lines(files: DataFrame) -> DataFrame:
+def scan_lines(files: DataFrame, languages: Sequence[Language] = LANGUAGES) -> DataFrame:
     """files(path, ext, content, ...) with `lines`, an array of (depth, is_import, code) for
     every line in order. Depth is leading white space by the indent size, code is the line
-    without comments and outer blanks."""
-    line, block = pick(F.col("ext"), lambda x: x.line), pick(F.col("ext"), lambda x: x.block and x.block[0])
-    keywords = F.coalesce(pick(F.col("ext"), lambda x: x.imports), F.array().cast("array<string>"))
-    indent = F.coalesce(pick(F.col("ext"), lambda x: x.indent), F.lit(4))
-    df = files.withColumn("_tokens", scanner_tokens(F.col("content"), F.col("ext")))
+    without comments and outer blanks. Where files has `flawed` (see utf8_gate), lines with
+    replaced bytes are no imports."""
+    ext = F.col("ext")
+    line, block = pick(ext, lambda x: x.line, languages), pick(ext, lambda x: x.block and x.block[0], languages)
+    keywords = F.coalesce(pick(ext, lambda x: x.imports, languages), F.array().cast("array<string>"))
+    indent = F.coalesce(pick(ext, lambda x: x.indent, languages), F.lit(4))
+    flawed = F.coalesce(F.col("flawed"), F.lit(False)) if "flawed" in files.columns else F.lit(False)
+    df = files.withColumn("_tokens", scanner_tokens(F.col("content"), ext, languages))
     t = F.col("_tokens")
     # the three views of a line side by side; texts are split outside the lambda, as what
     # stands in a lambda may be evaluated for every element
@@ -83,7 +107,7 @@ def scan_lines(files: DataFrame) -> DataFrame:
         tested = F.when(after != "", after).otherwise(F.regexp_replace(F.replace(z["raw"], F.lit("\x03"), F.lit("")), r"(?U)^\s+", ""))
         return F.struct(
             F.floor((F.length(lead) + tabs * (indent - 1)) / indent).cast("int").alias("depth"),
-            F.exists(keywords, lambda k: tested.startswith(k)).alias("is_import"),
+            (F.exists(keywords, lambda k: tested.startswith(k)) & ~(flawed & tested.contains("�"))).alias("is_import"),
             F.btrim(F.coalesce(z["code"], F.lit("")), F.lit(" \t\r\n\f\x02")).alias("code"),
         )
 
@@ -95,16 +119,14 @@ def line_table(scanned: DataFrame) -> DataFrame:
     return scanned.select("path", "ext", F.posexplode("lines").alias("i", "l")).select("path", "ext", (F.col("i") + 1).alias("line"), "l.*")
 
 
-def file_metrics(scanned: DataFrame) -> DataFrame:
-    """(path, ext, lines, imports, max_depth) within the row."""
-    return scanned.select(
-        "path", "ext", F.size("lines").cast("long").alias("lines"),
-        F.size(F.filter("lines", lambda x: x["is_import"])).cast("long").alias("imports"),
-        F.coalesce(F.array_max(F.transform("lines", lambda x: x["depth"])), F.lit(0)).cast("long").alias("max_depth"),
-    )
-
-
-def code_lines(scanned: DataFrame) -> DataFrame:
-    """scanned with `codes`, an array of (line, code) of the lines that hold code."""
+def measured(scanned: DataFrame) -> DataFrame:
+    """scan_lines' rows without texts: lines, imports and depth as numbers, `depths` of all
+    lines, and the places `at` and hashes `hashes` of the lines that hold code."""
     numbered = F.transform("lines", lambda x, i: F.struct((i + 1).alias("line"), x["code"].alias("code")))
-    return scanned.withColumn("codes", F.filter(numbered, lambda x: x["code"] != ""))
+    df = scanned.drop("content").withColumn("_codes", F.filter(numbered, lambda x: x["code"] != ""))
+    kept = [c for c in scanned.columns if c not in ("content", "lines")]
+    df = df.select(
+        *kept, F.size("lines").cast("long").alias("lines"), F.size(F.filter("lines", lambda x: x["is_import"])).cast("long").alias("imports"),
+        F.transform("lines", lambda x: x["depth"]).alias("depths"), F.transform("_codes", lambda x: x["line"]).alias("at"), F.transform("_codes", lambda x: F.xxhash64(x["code"])).alias("hashes"),
+    )
+    return df.withColumn("depth", F.coalesce(F.array_max("depths"), F.lit(0)).cast("long"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,9 +59,10 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
 
 
 @atexit.register
-def release() -> None:
-    """Remove the tables that materialize wrote; results that read them end here."""
-    while _written:
+def release(since: int = 0) -> None:
+    """Remove the tables that materialize wrote, those from number `since` on; results that
+    read them end here."""
+    while len(_written) > since:
         spark, path = _written.pop()
         try:
             jvm = spark.sparkContext._jvm
@@ -69,8 +72,27 @@ def release() -> None:
             pass
 
 
+@contextmanager
+def intermediate() -> Iterator[None]:
+    """A scope whose intermediate tables are removed at its end. Operators write such tables
+    while they are called; what they return has to be written or collected inside."""
+    since = len(_written)
+    try:
+        yield
+    finally:
+        release(since)
+
+
 def small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
     """Hint a broadcast of df if the optimizer's own estimate of its size is under limit;
     beyond it the planner chooses, which then means a shuffled join."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     return F.broadcast(df) if int(str(size)) <= limit else df
+
+
+def fenced(df: DataFrame, *columns: str) -> DataFrame:
+    """df as it is, with a fence around columns that are costly to compute: a filter on one of
+    them is not pushed below, where the optimizer would repeat all of its expression."""
+    others = [c for c in df.columns if c not in columns]
+    rows = df.select(*others, F.explode_outer(F.array(F.struct(*columns))).alias("_fenced"))
+    return rows.select(*others, *[F.col(f"_fenced.{c}").alias(c) for c in columns])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -29,3 +29,16 @@ def debounce_stream(edits: DataFrame, pause: str = PAUSE, late: str = "10 second
 def opened(edits: DataFrame) -> DataFrame:
     """Edits of kind 'open', which are analysed at once, whatever follows."""
     return edits.where(F.col("kind") == "open")
+
+
+def to_analyse(edits: DataFrame, pause: str = PAUSE) -> DataFrame:
+    """What of edits(uri, ts, kind, ...) is analysed: all of kind 'open', and of the others
+    those that no other of their kind follows within pause."""
+    changes = edits.where(F.coalesce(F.col("kind") != "open", F.lit(True)))
+    return opened(edits).unionByName(debounce(changes, pause))
+
+
+def read_edits(spark: SparkSession, folder: str) -> DataFrame:
+    """A stream of edits(uri, kind, text, ts) from a folder into which an editor's bridge
+    writes JSON lines; every change holds the whole text."""
+    return spark.readStream.schema("uri string, kind string, text string, ts timestamp").json(folder)

@@ -49,5 +49,14 @@ def test_every_query_has_sql():
 
 def test_verdicts_of_every_file(spark):
     paths = {x.path for x in QUERIES["filter_supported"](spark, DATA).collect()}
-    assert {x.path for x in QUERIES["verdicts_whole"](spark, DATA).collect()} == paths
-    assert QUERIES["project_summary_whole"](spark, DATA).first().total == len(paths)
+    assert {x.path for x in QUERIES["verdicts"](spark, DATA).collect()} == paths
+    assert QUERIES["project_summary"](spark, DATA).first().total == len(paths)
+
+
+def test_no_plan_shuffles_contents(spark, capsys):
+    for name in ("code_lines", "strip_aggressive", "normalize_ws", "file_metrics", "verdicts", "report_json", "cfg_verdicts", "issues_cross_file"):
+        QUERIES[name](spark, DATA).explain("formatted")
+        plan = capsys.readouterr().out
+        for part in plan.split("\n\n"):
+            if "Exchange" in part.split("\n")[0] and "Broadcast" not in part.split("\n")[0]:
+                assert "content#" not in part and "text#" not in part, (name, part)
