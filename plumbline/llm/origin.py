@@ -25,10 +25,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.session import materialize
+from plumbline.session import fenced, materialize
 from plumbline.sources.tables import clean_path, project_of
 
 LABELS = ["handwritten", "generated", "minified", "vendored", "blob"]
@@ -209,68 +209,64 @@ def _rows(table) -> np.ndarray:
 START = Tables(tuple(_rows(t) for t in SEEN.values()), _rows(DIRECTORY), _rows(BELOW), _rows(INSIDE), _rows(PRIOR))
 
 
-def _vector(prefix: str) -> list[Column]:
-    return [F.col(f"{prefix}{i}") for i in range(_K)]
+# Expressions are spelled out as SQL, which is built at once and not call by call.
+def _each(pattern: str) -> list[str]:
+    """The pattern for every label, whose number stands in for #."""
+    return [pattern.replace("#", str(i)) for i in range(_K)]
 
 
-def _named(columns: list[Column], prefix: str) -> list[Column]:
-    return [c.alias(f"{prefix}{i}") for i, c in enumerate(columns)]
+def _total(pattern: str, weights: np.ndarray) -> str:
+    return " + ".join(f"{w:.17g}D * {x}" for w, x in zip(weights, _each(pattern)))
 
 
 def _scaled(df: DataFrame, source: str, target: str) -> DataFrame:
     """df with target0.. = exp(source0.. - their maximum `target`top). Steps of their own
     keep the generated code small."""
-    df = df.withColumn(f"{target}top", F.greatest(*_vector(source)))
-    return df.select("*", *_named([F.exp(c - F.col(f"{target}top")) for c in _vector(source)], target))
+    df = df.selectExpr("*", f"greatest({', '.join(_each(f'{source}#'))}) AS {target}top")
+    return df.selectExpr("*", *_each(f"exp({source}# - {target}top) AS {target}#"))
 
 
 def _message(df: DataFrame, source: str, target: str, table: np.ndarray) -> DataFrame:
     """df with target0..: for each row of table the log of the sum over its columns times
     exp(source)."""
     df = _scaled(df, source, "_e")
-    sums = [sum((float(table[y][x]) * F.col(f"_e{x}") for x in range(_K)), F.lit(0.0)) for y in range(_K)]
-    return df.select("*", *_named([F.log(s) + F.col("_etop") for s in sums], target)).drop("_etop", *[f"_e{i}" for i in range(_K)])
+    sums = [f"ln({_total('_e#', row)}) + _etop AS {target}{y}" for y, row in enumerate(table)]
+    return df.selectExpr("*", *sums).drop("_etop", *_each("_e#"))
 
 
-def _unary(levels: Column, tables: tuple[np.ndarray, ...]) -> list[Column]:
-    """Log likelihood of levels under each label; a level of -1 says nothing."""
-    out = []
-    for label in range(_K):
-        parts = [F.coalesce(F.get(F.array(*[F.lit(float(np.log(p))) for p in t[label]]), F.get(levels, F.lit(i))), F.lit(0.0)) for i, t in enumerate(tables)]
-        out.append(sum(parts, F.lit(0.0)))
-    return out
+def _logs(chances: np.ndarray, level: str) -> str:
+    return f"get(array({', '.join(f'{x:.17g}D' for x in np.log(chances))}), {level})"
 
 
-def _names_log(chances: np.ndarray) -> Column:
-    """Log likelihood of all of a place's kinds of names."""
-    logs = F.array(*[F.lit(float(np.log(p))) for p in chances])
-    return F.aggregate("levels", F.lit(0.0), lambda a, x: a + F.get(logs, x))
+def _seen(tables: tuple[np.ndarray, ...]) -> list[str]:
+    """Log likelihood f0.. of `levels` under each label; a level of -1 says nothing."""
+    return [" + ".join(f"coalesce({_logs(t[label], f'get(levels, {i})')}, 0D)" for i, t in enumerate(tables)) + f" AS f{label}" for label in range(_K)]
 
 
 def _pair_sums(df: DataFrame, parent: str, child: str, table: np.ndarray) -> np.ndarray:
     """Expected number of pairs of labels, summed over edges with the beliefs parent0.. and
     child0.. (logs, each without what the other sent)."""
     df = _scaled(_scaled(df, parent, "_p"), child, "_c")
-    df = df.select([float(table[y][x]) * F.col(f"_p{y}") * F.col(f"_c{x}") for y in range(_K) for x in range(_K)])
-    names = df.columns
-    df = df.toDF(*[f"j{i}" for i in range(len(names))])
-    df = df.withColumn("total", sum((F.col(c) for c in df.columns), F.lit(0.0)))
-    row = df.agg(*[F.sum(F.col(f"j{i}") / F.col("total")).alias(f"j{i}") for i in range(_K * _K)]).first()
+    pairs = [(y, x) for y in range(_K) for x in range(_K)]
+    df = df.selectExpr(*[f"{table[y][x]:.17g}D * _p{y} * _c{x} AS j{i}" for i, (y, x) in enumerate(pairs)])
+    df = df.selectExpr("*", " + ".join(f"j{i}" for i in range(len(pairs))) + " AS total")
+    row = df.selectExpr(*[f"sum(j{i} / total)" for i in range(len(pairs))]).first()
     return np.array([x or 0.0 for x in row]).reshape(_K, _K)
 
 
-def _level_sums(df: DataFrame, level: Column, tables: tuple[np.ndarray, ...]) -> list[np.ndarray]:
+def _level_sums(df: DataFrame, level: str, tables: tuple[np.ndarray, ...]) -> list[np.ndarray]:
     """Expected number of each level under each label, of df(r0.., ...); level is an array."""
-    rows = df.select(F.posexplode(level).alias("i", "level"), *_vector("r")).where("level >= 0")
+    rows = df.selectExpr(f"posexplode({level}) AS (i, level)", *_each("r#")).where("level >= 0")
     sums = [np.zeros_like(t) for t in tables]
-    for x in rows.groupBy("i", "level").agg(*[F.sum(c).alias(f"r{k}") for k, c in enumerate(_vector("r"))]).collect():
-        sums[x.i][:, x.level] = [x[f"r{k}"] for k in range(_K)]
+    for x in rows.groupBy("i", "level").agg(*[F.expr(e) for e in _each("sum(r#) AS r#")]).collect():
+        sums[x.i][:, x.level] = [x[c] for c in _each("r#")]
     return sums
 
 
 def _marginals(df: DataFrame, logs: str) -> DataFrame:
     df = _scaled(df, logs, "_m")
-    return df.select("*", *_named([c / sum(_vector("_m"), F.lit(0.0)) for c in _vector("_m")], "r")).drop("_mtop", *[f"_m{i}" for i in range(_K)])
+    df = df.selectExpr("*", " + ".join(_each("_m#")) + " AS _msum")
+    return df.selectExpr("*", *_each("_m# / _msum AS r#")).drop("_mtop", "_msum", *_each("_m#"))
 
 
 class _Forest:
@@ -283,52 +279,51 @@ class _Forest:
     def propagate(self, t: Tables) -> tuple[DataFrame, DataFrame]:
         """(files, dirs) with the logs f0.. of what is seen, c0.. of what the parent believes
         without it, and j0.. of both together."""
-        own = materialize(self.files.select("file_id", "path", "dir", "levels", *_named(_unary(F.col("levels"), t.seen), "f")), "files")
-        sent = _message(own.where("dir IS NOT NULL"), "f", "m", t.inside).groupBy("dir").agg(*[F.sum(f"m{i}").alias(f"m{i}") for i in range(_K)])
-        zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-        seen = [_names_log(row) for row in t.directory]
-        dirs = self.dirs.join(sent, "dir", "left").select("dir", "parent", "depth", "levels", *_named([zero(f"m{i}") + s for i, s in enumerate(seen)], "b"))
-        dirs = materialize(dirs, "dirs")
+        own = self.files.selectExpr("file_id", "path", "dir", "levels", *_seen(t.seen))
+        own = materialize(_message(own, "f", "m", t.inside), "files")
+        total = [F.expr(e) for e in _each("sum(m#) AS m#")]
+        sent = own.where("dir IS NOT NULL").groupBy("dir").agg(*total)
+        names = [f"coalesce(m{i}, 0D) + aggregate(levels, 0D, (a, x) -> a + {_logs(row, 'x')}) AS b{i}" for i, row in enumerate(t.directory)]
+        dirs = materialize(self.dirs.join(sent, "dir", "left").selectExpr("dir", "parent", "depth", "levels", *names), "dirs")
 
         # b: what is seen at and below a directory; u: what it sends to its parent
         levels: dict[int, DataFrame] = {}
         for depth in range(self.deepest, 0, -1):
             level = dirs.where(F.col("depth") == depth)
             if depth < self.deepest:
-                below = levels[depth + 1].groupBy(F.col("parent").alias("dir")).agg(*[F.sum(f"u{i}").alias(f"u{i}") for i in range(_K)])
-                level = level.join(below, "dir", "left").select("dir", "parent", "depth", "levels", *_named([F.col(f"b{i}") + zero(f"u{i}") for i in range(_K)], "b"))
+                below = levels[depth + 1].groupBy(F.col("parent").alias("dir")).agg(*[F.expr(e) for e in _each("sum(u#) AS u#")])
+                level = level.join(below, "dir", "left").selectExpr("dir", "parent", "depth", "levels", *_each("b# + coalesce(u#, 0D) AS b#"))
             levels[depth] = materialize(_message(level, "b", "u", t.below), "up")
-        every = None
+        every = last = None
+        prior = [f"{x:.17g}D" for x in np.log(t.prior)]
         for depth in range(1, self.deepest + 1):
             level = levels[depth]
             if depth == 1:
-                level = level.select("*", *_named([F.lit(float(x)) for x in np.log(t.prior)], "c"), *_named([F.lit(float(x)) for x in np.log(t.prior)], "d"))
+                level = level.selectExpr("*", *[f"{p} AS c{i}" for i, p in enumerate(prior)], *[f"{p} AS d{i}" for i, p in enumerate(prior)])
             else:
-                above = last.select(F.col("dir").alias("parent"), *_named(_vector("j"), "p"))  # noqa: F821
-                level = level.join(above, "parent").select("*", *_named([F.col(f"p{i}") - F.col(f"u{i}") for i in range(_K)], "c"))
-                level = _message(level, "c", "d", t.below.T)
-            columns = ["dir", "depth", "levels", *[f"{n}{i}" for n in "bc" for i in range(_K)]]
-            last = materialize(level.select(*columns, *_named([F.col(f"b{i}") + F.col(f"d{i}") for i in range(_K)], "j")), "down")
+                above = last.selectExpr("dir AS parent", *_each("j# AS p#"))
+                level = _message(level.join(above, "parent").selectExpr("*", *_each("p# - u# AS c#")), "c", "d", t.below.T)
+            last = materialize(level.selectExpr("dir", "depth", "levels", *_each("b#"), *_each("c#"), *_each("b# + d# AS j#")), "down")
             every = last if every is None else every.unionByName(last)
         if every is None:
-            every = dirs.select("dir", "depth", "levels", *_vector("b"), *_named(_vector("b"), "c"), *_named(_vector("b"), "j"))
+            every = dirs.selectExpr("dir", "depth", "levels", *_each("b#"), *_each("b# AS c#"), *_each("b# AS j#"))
 
-        joined = _message(own, "f", "m", t.inside).join(every.select("dir", *_named(_vector("j"), "p")), "dir", "left")
-        joined = _message(joined.select("*", *_named([F.col(f"p{i}") - F.col(f"m{i}") for i in range(_K)], "c")), "c", "d", t.inside.T)
-        both = [F.col(f"f{i}") + F.coalesce(F.col(f"d{i}"), F.lit(float(np.log(t.prior[i])))) for i in range(_K)]
-        return joined.select("file_id", "path", "dir", "levels", *_vector("f"), *_vector("c"), *_named(both, "j")), every
+        joined = own.join(every.selectExpr("dir", *_each("j# AS p#")), "dir", "left").selectExpr("*", *_each("p# - m# AS c#"))
+        joined = _message(joined, "c", "d", t.inside.T)
+        both = [f"f{i} + coalesce(d{i}, {p}) AS j{i}" for i, p in enumerate(prior)]
+        files = joined.selectExpr("file_id", "path", "dir", "levels", *_each("f#"), *_each("c#"), *both)
+        return materialize(files, "marginals"), every
 
     def fit(self, t: Tables) -> Tables:
         """The tables that the marginals under t suggest, START counting as WEIGHT rows."""
         files, dirs = self.propagate(t)
-        files = materialize(files, "marginals")
         blend = lambda sums, start: _rows(np.maximum(_rows(sums + WEIGHT * start), LEAST))
-        seen = _level_sums(_marginals(files, "j"), F.col("levels"), t.seen)
-        names = _marginals(dirs, "j").select(F.explode("levels").alias("level"), *_vector("r"))
-        directory = _level_sums(names, F.array("level"), (t.directory,))[0]
+        seen = _level_sums(_marginals(files, "j"), "levels", t.seen)
+        names = _marginals(dirs, "j").selectExpr("explode(levels) AS level", *_each("r#"))
+        directory = _level_sums(names, "array(level)", (t.directory,))[0]
         inside = _pair_sums(files.where("dir IS NOT NULL"), "c", "f", t.inside)
         below = _pair_sums(dirs.where("depth > 1"), "c", "b", t.below)
-        roots = _marginals(dirs.where("depth = 1"), "j").agg(*[F.sum(c) for c in _vector("r")]).first()
+        roots = _marginals(dirs.where("depth = 1"), "j").selectExpr(*_each("sum(r#)")).first()
         prior = np.array([x or 0.0 for x in roots])
         return Tables(tuple(blend(s, x) for s, x in zip(seen, START.seen)), blend(directory, START.directory), blend(below, START.below), blend(inside, START.inside), blend(prior, START.prior))
 
@@ -396,6 +391,6 @@ def file_labels(files: DataFrame, reports: DataFrame | None = None, rounds: int
     for _ in range(rounds):
         tables = forest.fit(tables)
     joint = _marginals(forest.propagate(tables)[0], "j")
-    best = F.greatest(*_vector("r"))
-    label = F.coalesce(*[F.when(F.col(f"r{i}") == best, F.lit(x)) for i, x in enumerate(LABELS)])
-    return joint.select("file_id", "path", label.alias("label"), best.alias("confidence"))
+    joint = joint.selectExpr("file_id", "path", *_each("r#"), f"greatest({', '.join(_each('r#'))}) AS confidence")
+    label = F.coalesce(*[F.when(F.col(f"r{i}") == F.col("confidence"), F.lit(x)) for i, x in enumerate(LABELS)])
+    return fenced(joint.select("file_id", "path", label.alias("label"), "confidence"), "label", "confidence")
