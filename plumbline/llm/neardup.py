@@ -3,17 +3,19 @@
 Each record is a set of shingles. In every repetition a record picks some of its shingles
 by a hash that all records share, so that two records pick the same one with a chance that
 grows with their overlap; records with the same pick share a bucket. Buckets above `limit`
-are split again by picks that depend on the path so far, small ones are compared by brute
-force on 1-bit minwise sketches, and what passes is checked on the sets themselves. The
-repetitions bring the chance of finding a pair at the threshold to the target recall.
-
-Equal sets are one class throughout, so copies never meet in a bucket; a bucket that is
-still large at the last level holds records with the same rare picks and is compared in
-blocks, each pair of blocks in a task of its own.
+are split again by picks that depend on the path so far, as long as there are any, small
+ones are compared by brute force on 1-bit minwise sketches, and what passes is checked on
+the sets themselves. As many repetitions run as bring the chance of finding a pair at the
+threshold to the target recall.
+
+Equal sets are one class throughout, so copies never meet in a bucket. Should buckets
+still be large after all levels, they are compared in blocks, each pair of blocks in a task
+of its own, so that nothing is lost.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -28,8 +30,12 @@ from plumbline.session import materialize
 
 #: Bits of a sketch, in words of 64.
 WORDS = 3
-#: Standard deviations below the expected agreement at the threshold that still pass.
-SLACK = 3.5
+#: Standard deviations below the expected agreement at the threshold that still pass: of a
+#: million pairs at the threshold, three or four do not.
+SLACK = 4.5
+
+#: Shingles that are split at once.
+CHUNK = 1 << 20
 
 _WORD = re.compile(r"[A-Za-z0-9_]+")
 
@@ -125,15 +131,22 @@ def _split(width: int, picks: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             starts, sh = shingle_sets(batch.column("seq"), width)
-            ids = batch.column("rec_id").to_numpy()
-            for i, paths in enumerate(batch.column("buckets").to_pylist()):
-                own = sh[starts[i] : starts[i + 1]]
-                if not len(own):
-                    continue
-                for path in np.array(paths, np.int64).view(np.uint64):
-                    hit = own[_picked(own, np.full(len(own), picks / len(own)), path)]
-                    out = mix64(hit ^ path, 51).view(np.int64)
-                    yield pa.RecordBatch.from_pydict({"bucket": out, "rec_id": np.full(len(out), ids[i])})
+            paths = batch.column("buckets")
+            count = paths.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            path, record = paths.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.repeat(np.arange(batch.num_rows), count)
+            ids, size = batch.column("rec_id").to_numpy(), np.diff(starts)
+            # a row for every path and shingle of its record, some paths at a time
+            ends = np.cumsum(size[record])
+            at = 0
+            while at < len(record):
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK, "right")))
+                own = size[record[at:to]]
+                which = np.repeat(np.arange(at, to), own)
+                place = np.arange(len(which)) - np.repeat(np.cumsum(own) - own, own) + starts[record[which]]
+                hit = _picked(sh[place] ^ path[which], picks / size[record[which]], np.uint64(0))
+                out = mix64(sh[place[hit]] ^ path[which[hit]], 51).view(np.int64)
+                yield pa.RecordBatch.from_pydict({"bucket": out, "rec_id": ids[record[which[hit]]]})
+                at = to
 
     return run
 
@@ -191,8 +204,15 @@ def _compare(threshold: float):
     return run
 
 
+def repetitions(threshold: float, picks: float, recall: float) -> int:
+    """Repetitions after which a pair at the threshold has shared a pick with chance recall.
+    Of a record's picks, `picks` on average, the share that the other has picked as well is
+    that of its shingles that are common, 2 t / (1 + t) for sets of equal size."""
+    return max(1, math.ceil(-math.log(1 - recall) / (picks * 2 * threshold / (1 + threshold))))
+
+
 def similar_classes(
-    records: DataFrame, width: int = 5, threshold: float = 0.8, picks: float = 4.0, repeats: int = 4, levels: int = 3, limit: int = 200
+    records: DataFrame, width: int = 5, threshold: float = 0.8, picks: float = 4.0, recall: float = 0.9999, levels: int = 8, limit: int = 200
 ) -> tuple[DataFrame, DataFrame]:
     """(members, links) of records(rec_id, seq), seq being text or an array of integers.
 
@@ -202,10 +222,10 @@ def similar_classes(
     null id or seq, empty texts and records shorter than `width` elements are in neither;
     resent rows count once; other columns are not looked at; an empty table gives none.
 
-    A pair at the threshold is missed with a chance of about exp(-picks * threshold *
-    repeats) where its picks lead to small buckets; each further level costs a little of
-    that. No bucket is cut: those above `limit` are split, and at the last level compared
-    in blocks."""
+    Of pairs at the threshold at least about the share `recall` is found; it gives the number
+    of repetitions (see repetitions), and more similar pairs are found more often. No bucket
+    is cut: those above `limit` are split, and after `levels` levels compared in blocks."""
+    repeats = repetitions(threshold, picks, recall)
     src = records.where("rec_id IS NOT NULL AND seq IS NOT NULL").select("rec_id", "seq")
     described = src.mapInArrow(_describe(width, picks, repeats), "rec_id long, size int, s1 long, s2 long, sketch array<long>, buckets array<long>")
     described = materialize(described, "described")
@@ -225,9 +245,12 @@ def similar_classes(
         near = near.groupBy("bucket").agg(F.collect_list(member).alias("left"))
         found.append(near.select("left", F.array().cast(near.schema["left"].dataType).alias("right"), F.lit(True).alias("same")))
         big = counted.where(F.col("n") > limit)
+        if big.isEmpty():
+            break
         if level < levels:
+            # a split must not lose what the repetitions found, so it picks more
             paths = big.groupBy("rec_id").agg(F.collect_set("bucket").alias("buckets"))
-            rows = src.join(paths.hint("merge"), "rec_id").dropDuplicates(["rec_id"]).mapInArrow(_split(width, picks), "bucket long, rec_id long")
+            rows = src.join(paths.hint("merge"), "rec_id").dropDuplicates(["rec_id"]).mapInArrow(_split(width, 2 * picks), "bucket long, rec_id long")
             rows = materialize(rows.distinct(), "split")
             continue
         # blocks of about `limit` members; every pair of blocks once

@@ -40,8 +40,13 @@ g AS (SELECT rec_kind, id, t, lead(t, 1) OVER o AS t2, lead(t, 2) OVER o AS t3 F
 s AS (SELECT DISTINCT rec_kind, id, t || ' ' || t2 || ' ' || t3 AS t FROM g WHERE t IS NOT NULL AND t2 IS NOT NULL AND t3 IS NOT NULL),
 n AS (SELECT rec_kind, id, count(*) AS n FROM s GROUP BY rec_kind, id),
 c AS (SELECT a.rec_kind, a.id AS id_a, b.id AS id_b, count(*) AS c FROM s a JOIN s b ON a.rec_kind = b.rec_kind AND a.t = b.t AND a.id < b.id GROUP BY ALL),
-pairs AS (SELECT c.rec_kind, id_a, id_b FROM c JOIN n x ON x.rec_kind = c.rec_kind AND x.id = id_a JOIN n y ON y.rec_kind = c.rec_kind AND y.id = id_b
+pairs AS (SELECT c.rec_kind, id_a, id_b, x.n = c AND y.n = c AS equal FROM c JOIN n x ON x.rec_kind = c.rec_kind AND x.id = id_a JOIN n y ON y.rec_kind = c.rec_kind AND y.id = id_b
   WHERE c >= 0.5 * (x.n + y.n - c))
 """
 
-SQL = {"p3_found": _SQL + "SELECT rec_kind, id_a, id_b FROM pairs"}
+SQL = {
+    "p3_found": _SQL + "SELECT rec_kind, id_a, id_b FROM pairs",
+    "p3_groups": _SQL + """, ends AS (SELECT rec_kind, id_a AS id, id_b AS o, equal FROM pairs UNION ALL SELECT rec_kind, id_b, id_a, equal FROM pairs)
+SELECT n.rec_kind, n.id AS rec_id, least(n.id, min(o) FILTER (WHERE equal)) AS class_id, count(*) FILTER (WHERE equal) AS copies, count(*) FILTER (WHERE NOT equal) AS links
+FROM n LEFT JOIN ends e ON e.rec_kind = n.rec_kind AND e.id = n.id GROUP BY n.rec_kind, n.id""",
+}

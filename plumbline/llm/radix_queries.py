@@ -66,7 +66,11 @@ q AS (SELECT *, unnest([{_PROBS}]) AS p FROM k)
 SELECT "grouping", name, {"day, " if "day" in value else ""}measure, p, min({value.replace("day", "")}) AS value, n FROM q WHERE rn >= greatest(ceil(p * n), 1) GROUP BY "grouping", name, day, measure, p, n"""
 
 
+# the leading 24 bits of a whole number as a double
+_DIGIT = """CASE WHEN x = 0 THEN 0 ELSE ((floor(log2(x))::BIGINT + 1023) * 4503599627370496 + ((x / pow(2.0, floor(log2(x))) - 1) * 4503599627370496)::BIGINT) >> 40 END"""
+
 SQL = {
+    "p4_day_states": _ROWS.rstrip().rstrip(",") + f''' SELECT "grouping", name, day, measure, {_DIGIT} AS digit, count(*) AS n FROM v WHERE x IS NOT NULL GROUP BY ALL''',
     "p4_percentiles": _sql("SELECT * FROM v UNION ALL SELECT \"grouping\", name, CAST(NULL AS DATE), measure, x FROM v", _FLOOR + "day"),
     "p4_exact_percentiles": _sql("SELECT \"grouping\", name, 0 AS day, measure, x FROM v", "CAST(x AS DOUBLE)"),
 }

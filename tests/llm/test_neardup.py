@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from plumbline.llm.neardup import record_links, similar_classes, similar_pairs
+from plumbline.llm.neardup import record_links, repetitions, similar_classes, similar_pairs
 
 
 def sets(records: dict, width: int) -> dict:
@@ -57,11 +57,22 @@ def test_recall_and_precision(spark):
 def test_large_buckets_are_split_and_tiled_without_loss(spark):
     records = texts(2, 200)
     want = brute(records, 3, 0.5)
-    got = found(spark, records, limit=5, levels=2, repeats=8)
+    got = found(spark, records, limit=5, levels=2, recall=0.9999999)
     assert got <= want
     assert len(got) >= 0.98 * len(want)
 
 
+def test_recall_by_levels_and_target(spark):
+    records = texts(4, 300)
+    want = brute(records, 3, 0.5)
+    for levels in (1, 2, 4):
+        got = found(spark, records, limit=4, levels=levels)
+        assert got <= want and len(got) >= 0.995 * len(want)
+    few = found(spark, records, recall=0.3, picks=1.0)
+    assert 0.3 * len(want) <= len(few) <= len(want)
+    assert [repetitions(0.5, 4.0, r) for r in (0.5, 0.9999)] == [1, 4]
+
+
 def test_copies_share_a_class(spark):
     data = [(1, "a b c d e"), (2, "A-b C\nd e"), (3, "a b c d e"), (3, "a b c d e"), (4, None), (None, "a b c d e"), (5, ""), (6, "a b"), (7, "a b c d f")]
     df = spark.createDataFrame(data, "rec_id long, seq string")
