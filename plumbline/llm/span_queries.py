@@ -22,11 +22,15 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def record_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For every record with shared stretches their number, total and longest length."""
+    """For every record its length, the number of its shared stretches, their total and the
+    longest; a record that shares nothing has zeros."""
     length = F.col("to_pos") - F.col("from_pos") + 1
-    return found(spark, sf_dir).groupBy("rec_kind", "rec_id").agg(
-        F.count(F.lit(1)).alias("stretches"), F.sum(length).alias("shared_total"), F.max(length).alias("longest")
-    )
+    sums = found(spark, sf_dir).groupBy("rec_kind", "rec_id").agg(F.count(F.lit(1)).alias("stretches"), F.sum(length).alias("shared_total"), F.max(length).alias("longest"))
+    texts = table(spark, sf_dir, "duplicates").where("dup_id IS NOT NULL AND content IS NOT NULL").groupBy(F.col("dup_id").alias("rec_id")).agg(F.max(F.length("content")).cast("long").alias("length"))
+    lines = table(spark, sf_dir, "hash_sequence").where("file_id IS NOT NULL AND pos IS NOT NULL").groupBy(F.col("file_id").alias("rec_id")).agg((F.max("pos") + 1).cast("long").alias("length"))
+    every = texts.select(F.lit("content").alias("rec_kind"), "*").unionByName(lines.select(F.lit("hashes").alias("rec_kind"), "*"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
+    return every.join(sums, ["rec_kind", "rec_id"], "left").select("rec_kind", "rec_id", "length", zero("stretches"), zero("shared_total"), zero("longest"))
 
 
 QUERIES = {"p1_found": found, "p1_record_shares": record_shares}
@@ -48,6 +52,7 @@ spans AS (SELECT rec_kind, rec_id, CAST(min(pos) AS BIGINT) AS from_pos, CAST(ma
 
 SQL = {
     "p1_found": _SQL + "SELECT rec_kind, rec_id, from_pos, to_pos FROM spans",
-    "p1_record_shares": _SQL + """SELECT rec_kind, rec_id, count(*) AS stretches, CAST(sum(to_pos - from_pos + 1) AS BIGINT) AS shared_total,
-max(to_pos - from_pos + 1) AS longest FROM spans GROUP BY rec_kind, rec_id""",
+    "p1_record_shares": _SQL + """, r AS (SELECT 'content' AS rec_kind, dup_id AS rec_id, length(content) AS length FROM d UNION ALL SELECT 'hashes', file_id, max(pos) + 1 FROM s GROUP BY file_id)
+SELECT r.rec_kind, r.rec_id, any_value(length) AS length, count(from_pos) AS stretches, CAST(coalesce(sum(to_pos - from_pos + 1), 0) AS BIGINT) AS shared_total,
+coalesce(max(to_pos - from_pos + 1), 0) AS longest FROM r LEFT JOIN spans USING (rec_kind, rec_id) GROUP BY r.rec_kind, r.rec_id""",
 }

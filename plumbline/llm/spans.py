@@ -3,18 +3,27 @@
 Relative Lempel-Ziv parsing against an index of reference blocks. A record is cut into
 phrases: maximal runs of `span`-element windows that have the same smallest k-gram hash
 (their anchor). The anchor depends on the window's content alone, so two equal windows are
-always in phrases with the same anchor, and the phrases of all records under one anchor
-form the reference block that any of them has to be factored against; the index is spread
-over the cluster by phrase. Factoring is greedy: a phrase that the index has from another
-record is consumed whole, and neighbours consumed so make up one factor. At the factor
-boundaries, where a phrase differs from all others of its block, the windows of that block
-are looked up one by one. As every window is either inside a consumed phrase or looked up
-at a boundary, the result is exact: a position is reported if and only if it lies in a
-window that another record has, too.
-
-Nothing is compared in pairs: all lookups are aggregations (smallest and largest record of
-a key) that combine on the map side, so that boilerplate which stands in a third of all
-records costs one row per task. Keys are 128 bits of two independent polynomial hashes.
+always in phrases with the same anchor, and only the blocks that hold a phrase's anchor can
+hold any of its windows. So every record is parsed against every block that it can have a
+factor in, and the blocks are spread over the cluster by anchor.
+
+A reference block is up to BLOCK elements of distinct phrases, with all phrases of its
+anchors. Its index is a suffix array with the ranks of all doubled prefixes, which give the
+exact length that two suffixes have in common. At every position the longest factor that
+begins there and stands in another record is the one with the next suffix of another
+record, above or below in the array. A phrase is parsed greedily: the factor at the first
+position that has one of at least `span` elements is consumed, and the parse goes on at its
+boundary, where the windows that reach over it are checked, too. A phrase that the index
+has from another record as a whole is one factor without being parsed. Factors are put
+back to the places of their phrases, and those that touch or overlap in a record make up a
+span. As every window is in a phrase and each is inside a factor or checked at a boundary,
+the result is exact: a position is reported if and only if it lies in a window that another
+record has, too.
+
+Nothing is compared in pairs: lookups between blocks are aggregations (smallest and
+largest record of a key) that combine on the map side, so that boilerplate which stands in
+a third of all records costs one row per task. Phrases are told apart by 128 bits of two
+independent polynomial hashes, their parts by the elements themselves.
 """
 
 from __future__ import annotations
@@ -33,6 +42,8 @@ from plumbline.session import materialize
 PART = 1 << 20
 #: Longest phrase in windows; runs in periodic text are cut there.
 PHRASE = 512
+#: Elements of phrases in a reference block.
+BLOCK = 1 << 20
 
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -199,50 +210,123 @@ def _windows(column: pa.Array, windows: np.ndarray, span: int) -> tuple[np.ndarr
     return row, offset, Rolling(elements, 0).of(at, span), Rolling(elements, 1).of(at, span)
 
 
-def _runs(row: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, first and last offset of each run of consecutive offsets in a row."""
-    new = np.ones(len(row), bool)
-    new[1:] = (row[1:] != row[:-1]) | (offset[1:] != offset[:-1] + 1)
-    at = np.flatnonzero(new)
-    return row[at], offset[at], offset[np.append(at[1:], len(row)) - 1] if len(at) else at
+class Index:
+    """A suffix array over texts that end in elements of their own, and common lengths."""
+
+    def __init__(self, elements: np.ndarray):
+        n = len(elements)
+        rank = np.unique(elements, return_inverse=True)[1].astype(np.int64)
+        self.ranks = [rank.astype(np.int32)]
+        order = np.argsort(rank, kind="stable")
+        while n and rank[order[-1]] < n - 1:
+            step = 1 << (len(self.ranks) - 1)
+            key = rank << 32
+            key[: n - step] += rank[step:] + 1
+            order = np.argsort(key)
+            ordered = key[order]
+            rank = np.empty(n, np.int64)
+            rank[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
+            self.ranks.append(rank.astype(np.int32))
+        self.suffixes = order
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """How many elements the suffixes at a and b have in common."""
+        n, total = len(self.suffixes), np.zeros(len(a), np.int64)
+        for k in range(len(self.ranks) - 1, -1, -1):
+            rank = self.ranks[k]
+            x, y = a + total, b + total
+            inside = (x < n) & (y < n)
+            total += ((rank[np.minimum(x, n - 1)] == rank[np.minimum(y, n - 1)]) & inside).astype(np.int64) << k
+        return total
+
+
+def _least_since(values: np.ndarray, run: np.ndarray) -> np.ndarray:
+    """Minimum of values from the start of each one's run on; run counts up."""
+    far = np.int64(1) << 40
+    return np.minimum.accumulate(values - run * far) + run * far
+
+
+def longest_factors(index: Index, owner: np.ndarray) -> np.ndarray:
+    """For every position the length of the longest factor from there that begins at a
+    position of another owner as well; owner -1 is another than any."""
+    at = index.suffixes
+    n = len(at)
+    if n < 2:
+        return np.zeros(n, np.int64)
+    own = owner[at]
+    common = np.concatenate([[0], index.common(at[:-1], at[1:]), [0]])
+    new = np.ones(n, bool)
+    new[1:] = (own[1:] != own[:-1]) | (own[1:] < 0)
+    run = np.cumsum(new)
+    above = _least_since(common[:-1], run)
+    below = _least_since(common[1:][::-1], (run[-1] - run)[::-1])[::-1]
+    out = np.empty(n, np.int64)
+    out[at] = np.maximum(above, below)
+    return out
 
 
-def _resolve_blocks(span: int, buffer: int):
-    """Looks up the windows of whole reference blocks; rows come sorted by anchor."""
+def parse(first: np.ndarray, size: np.ndarray, length: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(phrase, begin, end) of the greedy factors of phrases of `size` elements that begin at
+    `first` of the block, given the longest factor at each of its positions. After a factor
+    the next begins at the first position whose window reaches over the boundary and that
+    has one of its own."""
+    starts = np.flatnonzero(length >= span)
+    ends = first + size
+    phrase, cursor, out = np.arange(len(first)), first.copy(), []
+    while len(phrase):
+        i = np.searchsorted(starts, cursor)
+        some = i < len(starts)
+        at = starts[np.minimum(i, len(starts) - 1)] if len(starts) else cursor
+        some &= at < ends[phrase]
+        phrase, at = phrase[some], at[some]
+        out.append((phrase, at - first[phrase], at + length[at] - first[phrase]))
+        cursor = at + length[at] - span + 1
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
+
+
+def _parse_blocks(span: int):
+    """Parses whole reference blocks; rows come sorted by anchor."""
 
     def solve(table: pa.Table) -> pa.RecordBatch:
-        snippet = table.column("snippet").combine_chunks()
-        size, lo, hi, h1, h2 = (table.column(c).to_numpy() for c in ("windows", "lo", "hi", "h1", "h2"))
-        row, offset, one, two = _windows(snippet, size.astype(np.int64), span)
-        order = np.lexsort((two, one))
-        key_new = np.ones(len(order), bool)
-        key_new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
-        first = np.flatnonzero(key_new)
-        group = np.cumsum(key_new) - 1
-        shared = np.minimum.reduceat(lo[row][order], first) != np.maximum.reduceat(hi[row][order], first) if len(first) else first
-        hit = np.zeros(len(order), bool)
-        hit[order] = shared[group]
-        hit &= (lo == hi)[row]
-        r, a, b = _runs(row[hit], offset[hit])
-        return pa.RecordBatch.from_pydict({"h1": h1[r], "h2": h2[r], "first": a.astype(np.int32), "last": b.astype(np.int32)})
+        starts, elements, _ = _elements(table.column("snippet").combine_chunks())
+        lo, hi, h1, h2 = (table.column(c).to_numpy() for c in ("lo", "hi", "h1", "h2"))
+        size = np.diff(starts)
+        # a text ends in an element of its own
+        first = starts[:-1] + np.arange(len(size))
+        block = np.empty(len(elements) + len(size), np.uint64)
+        ends = first + size
+        inside = np.ones(len(block), bool)
+        inside[ends] = False
+        block[inside] = np.unique(elements, return_inverse=True)[1]
+        block[ends] = len(elements) + np.arange(len(size))
+        owner = np.repeat(np.where(lo == hi, np.unique(lo, return_inverse=True)[1], -1), size + 1)
+        length = longest_factors(Index(block), owner)
+        # a phrase that several records have is one factor already
+        length[owner < 0] = 0
+        row, begin, end = parse(first, size, length, span)
+        return pa.RecordBatch.from_pydict({"h1": h1[row], "h2": h2[row], "first": begin.astype(np.int32), "last": (end - span).astype(np.int32)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        rows = 0
+        size = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             anchors = batch.column("anchor").to_numpy()
-            cut = int(np.searchsorted(anchors, anchors[-1]))  # the last block may go on
-            if cut or (held and held[-1].column("anchor")[-1].as_py() != anchors[0]):
-                held.append(batch.slice(0, cut))
-                rows += cut
-                if rows >= buffer:
-                    yield solve(pa.Table.from_batches(held))
-                    held, rows = [], 0
-                batch = batch.slice(cut)
-            held.append(batch)
-            rows += batch.num_rows
+            weight = np.cumsum(batch.column("windows").to_numpy().astype(np.int64) + span)
+            done, edges = 0, [*np.flatnonzero(anchors[1:] != anchors[:-1]) + 1, len(anchors)]
+            if held and held[-1].column("anchor")[-1].as_py() != anchors[0]:
+                edges.insert(0, 0)
+            for edge in edges[:-1]:  # the last anchor may go on
+                if edge == 0 or size + weight[edge - 1] - (weight[done - 1] if done else 0) >= BLOCK:
+                    held.append(batch.slice(done, edge - done))
+                    size += int(weight[edge - 1] - (weight[done - 1] if done else 0)) if edge else 0
+                    if size >= BLOCK:
+                        yield solve(pa.Table.from_batches(held))
+                        held, size = [], 0
+                    done = edge
+            held.append(batch.slice(done))
+            size += int(weight[-1] - (weight[done - 1] if done else 0))
         if held:
             yield solve(pa.Table.from_batches(held))
 
@@ -260,16 +344,16 @@ def _explode_windows(span: int):
     return run
 
 
-def shared_spans(pieces: DataFrame, span: int, gram: int, seed: int = 1, block: int = 2000) -> DataFrame:
+def shared_spans(pieces: DataFrame, span: int, gram: int, seed: int = 1, block: int = 20_000) -> DataFrame:
     """(rec_id, from_pos, to_pos): the maximal runs of positions that lie in a stretch of
     at least `span` elements which stands identically in another record.
 
     pieces has rec_id, base and seq (see text_pieces, sequence_pieces); other columns are
     not looked at. gram is the length of the anchors' k-grams, at most span. Null elements
     equal nothing. Records shorter than span, empty ones and an empty table have no runs;
-    resent rows of a record are not another record. Reference blocks of more than `block`
-    phrases are looked up window by window over the cluster, smaller ones in one task each;
-    the result is the same."""
+    resent rows of a record are not another record. An anchor with more than `block` distinct
+    phrases is too large for a reference block; its windows are looked up one by one over
+    the cluster, with the same result."""
     if not 1 <= gram <= span:
         raise ValueError("gram must be between 1 and span")
     seq_type = dict(pieces.dtypes)["seq"]
@@ -293,7 +377,7 @@ def shared_spans(pieces: DataFrame, span: int, gram: int, seed: int = 1, block:
     snippets = materialize(snippets.dropDuplicates(["h1", "h2"]), "snippets")
 
     near = snippets.where(F.col("size") <= block).repartition("anchor").sortWithinPartitions("anchor")
-    near = near.mapInArrow(_resolve_blocks(span, 20_000), "h1 long, h2 long, first int, last int")
+    near = near.mapInArrow(_parse_blocks(span), "h1 long, h2 long, first int, last int")
     hot = snippets.where(F.col("size") > block).mapInArrow(_explode_windows(span), "h1 long, h2 long, lo long, hi long, at int, w1 long, w2 long")
     known = hot.groupBy("w1", "w2").agg(F.min("lo").alias("a"), F.max("hi").alias("b")).where("a <> b").select("w1", "w2")
     hot = hot.where("lo = hi").join(known, ["w1", "w2"], "left_semi").select("h1", "h2", F.col("at").alias("first"), F.col("at").alias("last"))

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.session import small
+
 #: Size of the hashed feature space (a power of two).
 BUCKETS = 1 << 17
 
@@ -264,7 +266,7 @@ def training_rows(documents: DataFrame, labels: DataFrame, limit: int, hints: in
     hinted = texts.where(F.col("text").rlike(r"(?im)^\s*(chamber|kammer|chambre|section|senat)\s*:")).select("doc_id").distinct()
     hinted = hinted.join(sets, "doc_id", "left_anti").orderBy(*order).limit(hints)
     chosen = marked.unionByName(hinted.withColumn("labels", F.array().cast("array<string>")))
-    return texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    return texts.join(small(chosen), "doc_id").dropDuplicates(["doc_id"])
 
 
 def classify(documents: DataFrame, model: Model) -> DataFrame:

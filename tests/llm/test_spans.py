@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from plumbline.llm import spans
-from plumbline.llm.spans import sequence_pieces, shared_spans, text_pieces
+from plumbline.llm.spans import Index, longest_factors, parse, sequence_pieces, shared_spans, text_pieces
 
 
 def brute(records: dict, span: int) -> set:
@@ -44,9 +45,38 @@ def rows(df):
     return {(x.rec_id, x.from_pos, x.to_pos) for x in df.collect()}
 
 
-@pytest.mark.parametrize("block,part,phrase", [(2000, 1 << 20, 512), (1, 1 << 20, 512), (2000, 100, 7)])
-def test_texts_match_brute_force(spark, monkeypatch, block, part, phrase):
+@pytest.mark.parametrize("seed", range(3))
+def test_longest_factors_and_parse(seed):
+    r = random.Random(seed)
+    texts = ["".join(r.choice("ab") for _ in range(r.randint(0, 40))) + "abba" * r.randint(0, 5) for _ in range(12)]
+    owners = [r.choice([-1, 0, 1, 2]) for _ in texts]
+    block = np.array([c for k, t in enumerate(texts) for c in (*map(ord, t), 1000 + k)], np.uint64)
+    owner = np.array([o for o, t in zip(owners, texts) for _ in range(len(t) + 1)])
+    first = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]
+    got = longest_factors(Index(block), owner)
+    others = lambda k: [t for j, t in enumerate(texts) if j != k and (owners[j] != owners[k] or owners[k] < 0)]
+    for k, t in enumerate(texts):
+        for i in range(len(t)):
+            best = 0
+            while i + best < len(t) and any(t[i : i + best + 1] in o for o in others(k)) or (owners[k] < 0 and i + best < len(t) and t.count(t[i : i + best + 1]) + _overlaps(t, t[i : i + best + 1]) > 1):
+                best += 1
+            assert got[first[k] + i] == best
+    for span in (3, 6):
+        phrase, begin, end = parse(first, np.array(list(map(len, texts))), got, span)
+        assert ((end - begin) >= span).all()
+        for k, t in enumerate(texts):
+            want = {p for i in range(len(t)) if got[first[k] + i] >= span for p in range(i, i + got[first[k] + i])}
+            assert want == {p for q, a, b in zip(phrase, begin, end) if q == k for p in range(a, b)}
+
+
+def _overlaps(text, part):
+    return sum(text.startswith(part, i) for i in range(len(text))) - text.count(part)
+
+
+@pytest.mark.parametrize("block,part,phrase,held", [(2000, 1 << 20, 512, 1 << 20), (1, 1 << 20, 512, 1 << 20), (2000, 100, 7, 1 << 20), (2000, 1 << 20, 512, 60)])
+def test_texts_match_brute_force(spark, monkeypatch, block, part, phrase, held):
     monkeypatch.setattr(spans, "PART", part)
+    monkeypatch.setattr(spans, "BLOCK", held)
     monkeypatch.setattr(spans, "PHRASE", phrase)
     records = texts(block + part)
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in records.items()], "id long, body string, rec_id string, base int")
