@@ -144,7 +144,9 @@ def mix(documents: DataFrame, targets: DataFrame, spread: bool = True, block: in
     schema = "mix_id int, source string, doc_id long, tokens long, base int, p double, block long"
     open_ = (F.col("p") > _OPEN) & (F.col("p") < 1 - _OPEN)
 
-    flown = materialize(rows.groupBy("mix_id", "source", "block").applyInPandas(_fly, schema), "flight")
+    # few bytes but much work: the engine would put all flights into one task
+    wide = min(sum(r["blocks"] for r in rates) or 1, 4 * spark.sparkContext.defaultParallelism)
+    flown = materialize(rows.repartition(wide, "mix_id", "source", "block").groupBy("mix_id", "source", "block").applyInPandas(_fly, schema), "flight")
     decided = [flown.where(~open_)]
     left, most = flown.where(open_), max((r["blocks"] for r in rates), default=1)
     while most > block // 2:
