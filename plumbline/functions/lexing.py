@@ -22,6 +22,12 @@ from plumbline.functions.languages import LANGUAGES, Language, pick
 _STRINGS = "|".join(rf"{q}(?:\\[\s\S]|[^{q}\\])*+(?:{q}|\\?\z)" for q in "\"'`")
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value evaluated once; within the functions of arrays an expression is
+    evaluated wherever and as often as it stands."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _block(x: Language) -> str | None:
     return x.block and rf"{re.escape(x.block[0])}[\s\S]*?(?:{re.escape(x.block[1])}|\z)"
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.languages import settings_extension
-from plumbline.session import fenced, small
+from plumbline.session import fenced
 
 # Limits where nothing else is said, and the rules.
 DEFAULTS = {"max_lines": 400, "max_depth": 6, "max_imports": 25, "max_repetition": 15.0, "min_duplicate_lines": 4}
@@ -17,22 +17,30 @@ def severity_column(rule: str) -> str:
     return f"sev_{rule.replace('-', '_')}"
 
 
-def limits_by_extension(thresholds: DataFrame) -> DataFrame:
-    """thresholds(ext, limits...) with the values of its row `default` in place of nulls;
-    nulls of that row are the built-in ones. One row each."""
-    rows = thresholds.where("ext IS NOT NULL").select("ext", *DEFAULTS, F.lit("default").alias("_base"))
-    base = rows.where("ext = 'default'").groupBy(F.col("ext").alias("_base")).agg(*[F.first(c).alias(f"d_{c}") for c in DEFAULTS])
-    return rows.join(small(base), "_base", "left").select("ext", *[F.coalesce(c, f"d_{c}", F.lit(v)).alias(c) for c, v in DEFAULTS.items()])
+def limits_by_extension(thresholds: DataFrame) -> dict[str, dict[str, float | None]]:
+    """Limits by extension of the small dimension thresholds(ext, limits...): one row for an
+    extension, and one named `default`. Of several rows the smallest values count."""
+    rows = thresholds.where("ext IS NOT NULL").groupBy("ext").agg(*[F.min(c).alias(c) for c in DEFAULTS]).collect()
+    return {r.ext: {c: r[c] for c in DEFAULTS} for r in rows}
 
 
 def with_limits(files: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """files(ext, ...) with the limits for their extension, else those of `default`."""
+    """files(ext, ...) with the limits for their extension, else those of the row `default`,
+    else the built-in ones."""
     limits = limits_by_extension(thresholds)
-    named = limits.select(F.col("ext").alias("_key"), *DEFAULTS)
-    default = limits.where("ext = 'default'").groupBy(F.col("ext").alias("_base")).agg(*[F.first(c).alias(f"d_{c}") for c in DEFAULTS])
-    rows = files.withColumn("_key", settings_extension(F.col("ext"))).withColumn("_base", F.lit("default"))
-    rows = rows.join(small(named), "_key", "left").join(small(default), "_base", "left")
-    return rows.select(*files.columns, *[F.coalesce(c, f"d_{c}", F.lit(v)).alias(c) for c, v in DEFAULTS.items()])
+    base = limits.get("default", {})
+    key = settings_extension(F.col("ext"))
+
+    def limit(c: str, built_in: float) -> Column:
+        kind = "double" if isinstance(built_in, float) else "bigint"
+        other = F.lit(built_in if base.get(c) is None else base[c]).cast(kind)
+        own = {e: v[c] for e, v in limits.items() if v[c] is not None and e != "default"}
+        out = None
+        for e, v in sorted(own.items()):
+            out = F.when(key == e, F.lit(v).cast(kind)) if out is None else out.when(key == e, F.lit(v).cast(kind))
+        return (other if out is None else out.otherwise(other)).alias(c)
+
+    return files.select(*[c for c in files.columns if c not in DEFAULTS], *[limit(c, v) for c, v in DEFAULTS.items()])
 
 
 def _percent(x: Column) -> Column:

@@ -9,12 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.languages import LANGUAGES, Language, pick, supported
-from plumbline.functions.lexing import code_text, masked_text, raw_text, scanner_tokens
+from plumbline.functions.lexing import code_text, let, masked_text, raw_text, scanner_tokens
 from plumbline.sources.tables import clean_path, extension_of, first_rows
 
 # The directives, and in how many first lines they are looked for.
 IGNORE_TAG, IGNORE_LINES = "@sweetignore", 10
 DISABLE_TAG, DISABLE_LINES = "@swt-disable", 20
+# Fixed value: the characters of the Unicode property White_Space.
+SPACES = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Text files below this size have to be valid UTF-8 to be analysed.
 SMALL_BYTES = 16 * 1024
 
@@ -90,28 +92,44 @@ def scan_lines(files: DataFrame, languages: Sequence[Language] = LANGUAGES) -> D
     line, block = pick(ext, lambda x: x.line, languages), pick(ext, lambda x: x.block and x.block[0], languages)
     keywords = F.coalesce(pick(ext, lambda x: x.imports, languages), F.array().cast("array<string>"))
     indent = F.coalesce(pick(ext, lambda x: x.indent, languages), F.lit(4))
-    flawed = F.coalesce(F.col("flawed"), F.lit(False)) if "flawed" in files.columns else F.lit(False)
+    flawed = F.coalesce(F.col("flawed"), F.lit(False)) if "flawed" in files.columns else None
     df = files.withColumn("_tokens", scanner_tokens(F.col("content"), ext, languages))
     t = F.col("_tokens")
-    # the three views of a line side by side; texts are split outside the lambda, as what
-    # stands in a lambda may be evaluated for every element
-    views = F.arrays_zip(*[F.split(v(t, line, block), "\n", -1).alias(n) for n, v in (("mask", masked_text), ("code", code_text), ("raw", raw_text))])
+    # the three views of a line side by side; what differs by language is bound once
+    views = let(
+        F.struct(line.alias("line"), block.alias("block")),
+        lambda o: F.arrays_zip(*[F.split(v(t, o["line"], o["block"]), "\n", -1).alias(n) for n, v in (("mask", masked_text), ("code", code_text), ("raw", raw_text))]),
+    )
     df = df.withColumn("_views", F.filter(views, lambda z: z["mask"].isNotNull()))
     n = F.size("_views")
     df = df.withColumn("_views", F.when(F.element_at("_views", -1)["mask"] == "", F.slice("_views", 1, n - 1)).otherwise(F.col("_views")))
 
-    def one(z: Column) -> Column:
-        lead = F.regexp_extract(z["mask"], "^\x03?([ \t]*)", 1)
-        tabs = F.length(lead) - F.length(F.replace(lead, F.lit("\t"), F.lit("")))
-        after = F.regexp_replace(F.regexp_extract(z["raw"], "\x03([^\x03]*)$", 1), r"(?U)^\s+", "")
-        tested = F.when(after != "", after).otherwise(F.regexp_replace(F.replace(z["raw"], F.lit("\x03"), F.lit("")), r"(?U)^\s+", ""))
+    def parts(z: Column) -> Column:
+        # regular expressions only where the mark of an earlier line's token stands
+        raw = z["raw"]
+        after = F.regexp_replace(F.regexp_extract(raw, "\x03([^\x03]*)$", 1), r"(?U)^\s+", "")
+        marked = F.when(after != "", after).otherwise(F.regexp_replace(F.replace(raw, F.lit("\x03"), F.lit("")), r"(?U)^\s+", ""))
         return F.struct(
-            F.floor((F.length(lead) + tabs * (indent - 1)) / indent).cast("int").alias("depth"),
-            (F.exists(keywords, lambda k: tested.startswith(k)) & ~(flawed & tested.contains("�"))).alias("is_import"),
+            F.when(z["mask"].startswith("\x03"), F.substring(z["mask"], 2, 1 << 30)).otherwise(z["mask"]).alias("mask"),
+            F.when(raw.contains("\x03"), marked).otherwise(F.ltrim(raw, F.lit(SPACES))).alias("tested"),
             F.btrim(F.coalesce(z["code"], F.lit("")), F.lit(" \t\r\n\f\x02")).alias("code"),
         )
 
-    return df.withColumn("lines", F.transform("_views", one)).drop("_tokens", "_views")
+    def lead(z: Column) -> Column:
+        return F.struct((F.length(z["mask"]) - F.length(F.ltrim(z["mask"], F.lit(" \t")))).alias("blanks"), z["mask"].alias("mask"), z["tested"].alias("tested"), z["code"].alias("code"))
+
+    def one(z: Column, o: Column) -> Column:
+        blanks = z["blanks"]
+        tabs = F.when(z["mask"].contains("\t"), blanks - F.length(F.replace(F.left(z["mask"], blanks), F.lit("\t"), F.lit("")))).otherwise(0)
+        is_import = F.exists(o["keywords"], lambda k: z["tested"].startswith(k))
+        return F.struct(
+            F.when(blanks > 0, F.floor((blanks + tabs * (o["indent"] - 1)) / o["indent"]).cast("int")).otherwise(0).alias("depth"),
+            (is_import & ~(flawed & z["tested"].contains("�")) if flawed is not None else is_import).alias("is_import"),
+            z["code"].alias("code"),
+        )
+
+    lines = let(F.struct(keywords.alias("keywords"), indent.alias("indent")), lambda o: F.transform(F.transform(F.transform("_views", parts), lead), lambda z: one(z, o)))
+    return df.withColumn("lines", lines).drop("_tokens", "_views")
 
 
 def line_table(scanned: DataFrame) -> DataFrame:
@@ -122,11 +140,10 @@ def line_table(scanned: DataFrame) -> DataFrame:
 def measured(scanned: DataFrame) -> DataFrame:
     """scan_lines' rows without texts: lines, imports and depth as numbers, `depths` of all
     lines, and the places `at` and hashes `hashes` of the lines that hold code."""
-    numbered = F.transform("lines", lambda x, i: F.struct((i + 1).alias("line"), x["code"].alias("code")))
-    df = scanned.drop("content").withColumn("_codes", F.filter(numbered, lambda x: x["code"] != ""))
     kept = [c for c in scanned.columns if c not in ("content", "lines")]
-    df = df.select(
+    df = scanned.select(
         *kept, F.size("lines").cast("long").alias("lines"), F.size(F.filter("lines", lambda x: x["is_import"])).cast("long").alias("imports"),
-        F.transform("lines", lambda x: x["depth"]).alias("depths"), F.transform("_codes", lambda x: x["line"]).alias("at"), F.transform("_codes", lambda x: F.xxhash64(x["code"])).alias("hashes"),
+        F.transform("lines", lambda x: x["depth"]).alias("depths"), F.array_compact(F.transform("lines", lambda x, i: F.when(x["code"] != "", i + 1))).alias("at"),
+        F.transform(F.filter("lines", lambda x: x["code"] != ""), lambda x: F.xxhash64(x["code"])).alias("hashes"),
     )
     return df.withColumn("depth", F.coalesce(F.array_max("depths"), F.lit(0)).cast("long"))
