@@ -134,7 +134,9 @@ def scan_lines(files: DataFrame, languages: Sequence[Language] = LANGUAGES) -> D
 
 def line_table(scanned: DataFrame) -> DataFrame:
     """(path, ext, line, depth, is_import, code) from scan_lines; line counts from 1."""
-    return scanned.select("path", "ext", F.posexplode("lines").alias("i", "l")).select("path", "ext", (F.col("i") + 1).alias("line"), "l.*")
+    # an inner explode would have the optimizer test first whether there are lines, by scanning twice
+    rows = scanned.select("path", "ext", F.posexplode_outer("lines").alias("i", "l")).where("i IS NOT NULL")
+    return rows.select("path", "ext", (F.col("i") + 1).alias("line"), "l.*")
 
 
 def measured(scanned: DataFrame) -> DataFrame:

@@ -132,11 +132,14 @@ def repetition_local(spark, d):
 
 
 def _across(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(measures with the repetition across files, windows, issues and verdicts from them)."""
+    """(measures within files, windows, measures with the repetition across files)."""
     s = _stored(spark, d)
     w = materialize(rep.windows(s), "windows")
-    both = rep.with_global_repetition(s, rep.group_members(w))
-    return s, w, rules.with_issues(both, WARNINGS, depth=False)
+    return s, w, rep.with_global_repetition(s, rep.group_members(w))
+
+
+def _judged_across(spark, d) -> DataFrame:
+    return rules.with_issues(_across(spark, d)[2], WARNINGS, depth=False)
 
 
 def repetition_global(spark, d):
@@ -179,7 +182,7 @@ def cross_file_details(spark, d):
 
 
 def cross_file_report(spark, d):
-    judged = _across(spark, d)[2]
+    judged = _judged_across(spark, d)
     return judged.select("path", "lines", "imports", F.round("repetition", 6).alias("repetition"), F.size("issues").cast("long").alias("issues"), "passed")
 
 
@@ -253,7 +256,7 @@ def issues_disabled(spark, d):
 
 
 def issues_cross_file(spark, d):
-    return rules.issue_table(_across(spark, d)[2])
+    return rules.issue_table(_judged_across(spark, d))
 
 
 def verdicts(spark, d):
