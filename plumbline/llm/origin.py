@@ -328,7 +328,7 @@ class _Forest:
         return Tables(tuple(blend(s, x) for s, x in zip(seen, START.seen)), blend(directory, START.directory), blend(below, START.below), blend(inside, START.inside), blend(prior, START.prior))
 
 
-def file_labels(files: DataFrame, reports: DataFrame | None = None, rounds: int = 2) -> DataFrame:
+def file_labels(files: DataFrame, reports: DataFrame | None = None, rounds: int = 1) -> DataFrame:
     """(file_id, path, label, confidence) of every file of files(file_id, path, content).
 
     reports(file_id, lines, repetition, run_ts) is optional; the latest report of a file

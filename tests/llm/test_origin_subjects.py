@@ -108,6 +108,41 @@ def test_tables_are_fitted_to_the_data(spark):
     assert {i for i, x in got.items() if x == "generated"} == {i for i in range(0, 400, 4)}
 
 
+def test_precision_and_recall_on_made_projects(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=6))
+    body = lambda n=14: "".join(f"    {word()} = {word()}.{word()}({word()}, {word()})\n" for _ in range(n))
+    libraries = [body(30) for _ in range(20)]
+    rows, truth = [], {}
+
+    def add(path, text, other):
+        truth[len(rows)] = other
+        rows.append((len(rows), path, text))
+
+    for p in range(40):
+        tool, home = r.random() < 0.4, r.choice(["src", "app", "core"])
+        for k in range(12):
+            add(f"p{p}/{home}/{word()}/f{k}.py", ("# licence\n" if p % 2 else "") + body() * r.choice([1, 1, 1, 20]), False)
+        add(f"p{p}/{home}/about.py", "TEXT = 'Code generated by t. DO NOT EDIT.'\n" + body(), False)
+        add(f"p{p}/{home}/odd.py", body() + "s = '" + "abc/" * 800 + "'\n", False)
+        for k in range(3 * tool):  # two of three with a marker, the third known by its directory
+            add(f"p{p}/{home}/generated/g{k}.py", ("# Code generated by tool. DO NOT EDIT.\n" if k else "") + body(), True)
+        if p % 5 == 0:
+            add(f"p{p}/{home}/{word()}.py", "".join(f"register_{i:03d}(table, {i})\nflush(table)\n" for i in range(90)), True)
+            add(f"p{p}/static/app.min.js", "function a(b){return b.c(d)}" * 90, True)
+            add(f"p{p}/data/table.py", "t = [\n" + "    17, 230, 4110, 5,\n" * 50 + "]\n", True)
+        library = r.choice(libraries)
+        add(f"p{p}/vendor/{word()}/x.py", library, True)
+        if p % 3 == 0:  # a copy outside of the known directories
+            add(f"p{p}/{home}/{word()}.py", r.choice(libraries), None)
+    known = {text for i, p, text in rows if "/vendor/" in p}
+    truth = {i: text in known if truth[i] is None else truth[i] for i, _, text in rows}
+    got = labels(spark.createDataFrame(rows, "file_id long, path string, content string"))
+    found = {i for i, x in got.items() if x != "handwritten"}
+    want = {i for i, x in truth.items() if x}
+    assert len(found & want) >= 0.98 * len(found) and len(found & want) >= 0.98 * len(want), (sorted(found - want), sorted(want - found))
+
+
 TERMS = {"tax": ["levy", "duty", "audit", "excise"], "sport": ["referee", "league", "athlete", "doping"], "law": ["service", "costs", "delay"]}
 FRAMES = ["The dispute concerns the {}.", "As to the {}, the claimant replied.", "The expert described the {} in detail."]
 
