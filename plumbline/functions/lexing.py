@@ -62,8 +62,11 @@ def _quoted(token: Column) -> Column:
 
 
 def _rewritten(tokens: Column, line: Column, block: Column, comment, quoted) -> Column:
+    # of strings and comments few span lines, and only these take regular expressions
     def by_kind(t: Column) -> Column:
-        return F.when(_starts(t, line), F.lit("\x01")).when(_starts(t, block), comment(t)).when(_quoted(t), quoted(t)).otherwise(t)
+        short = ~t.contains("\n")
+        is_block, is_quoted = _starts(t, block), _quoted(t)
+        return F.when(_starts(t, line) | (is_block & short), F.lit("\x01")).when(is_quoted & short, quoted(t, True)).when(is_block, comment(t)).when(is_quoted, quoted(t, False)).otherwise(t)
 
     return F.array_join(F.transform(tokens, by_kind), "")
 
@@ -83,13 +86,15 @@ def masked_text(tokens: Column, line: Column, block: Column) -> Column:
         lines = _newlines(x)
         return F.concat(F.lit("\x01"), lines, F.when((lines != "") & ~x.endswith("\n"), "\x03").otherwise(""))
 
-    return _rewritten(tokens, line, block, blank, lambda t: blank(_unescaped(t)))
+    return _rewritten(tokens, line, block, blank, lambda t, short: F.lit("\x01") if short else let(_unescaped(t), blank))
 
 
 def code_text(tokens: Column, line: Column, block: Column) -> Column:
     """Comments removed, strings kept."""
 
-    def kept(t: Column) -> Column:
+    def kept(t: Column, short: bool) -> Column:
+        if short:
+            return t
         joined = F.regexp_replace(t, r"\\\n", "\\\\\\\\\x02")
         return F.concat(joined, F.when(joined.contains("\n"), "\x03").otherwise(""))
 
@@ -105,7 +110,7 @@ def raw_text(tokens: Column, line: Column, block: Column) -> Column:
         return F.concat(t, F.when(t.contains("\n"), "\x03").otherwise(""))
 
     def by_kind(t: Column) -> Column:
-        plain = _starts(t, line) | ~(_starts(t, block) | _quoted(t))
+        plain = ~t.contains("\n") | _starts(t, line) | ~(_starts(t, block) | _quoted(t))
         return F.when(plain, t).when(_starts(t, block), marked(t)).otherwise(marked(F.regexp_replace(t, r"\\\n", "\\\\\\\\\x02")))
 
     return F.array_join(F.transform(tokens, by_kind), "")

@@ -10,13 +10,27 @@ from pyspark.sql import Window as W
 PAUSE = "300 milliseconds"
 
 
+#: Pauses in a stretch of time that is looked at on its own.
+STRETCH = 1000
+
+
 def debounce(edits: DataFrame, pause: str = PAUSE) -> DataFrame:
     """The edits(uri, ts, ...) that no other edit of the same document follows within pause.
-    Of edits at the same instant one stays; rows with a null uri or ts are left out."""
-    after = F.lead("ts").over(W.partitionBy("uri").orderBy("ts"))
-    rows = edits.where("uri IS NOT NULL AND ts IS NOT NULL").withColumn("_next", after)
+    Of edits at the same instant one stays; rows with a null uri or ts are left out.
+
+    A document is cut into stretches of time, which only need to know when the next one
+    begins, so that one with a large part of all edits is no single task."""
+    at = F.col("ts")
+    if dict(edits.dtypes)["ts"] == "timestamp_ntz":  # in any zone, but always in the same
+        at = F.concat(at.cast("string"), F.lit("Z")).cast("timestamp")
+    start = F.lit("1970-01-01 00:00:00 UTC").cast("timestamp")
+    width = (F.unix_micros(start + F.expr(f"INTERVAL {pause}")) - F.unix_micros(start)) * STRETCH
+    rows = edits.where("uri IS NOT NULL AND ts IS NOT NULL").withColumn("_stretch", F.floor(F.unix_micros(at) / width))
+    begins = rows.groupBy("uri", (F.col("_stretch") - 1).alias("_stretch")).agg(F.min("ts").alias("_begin"))
+    after = F.lead("ts").over(W.partitionBy("uri", "_stretch").orderBy("ts"))
+    rows = rows.withColumn("_next", after).join(begins, ["uri", "_stretch"], "left").withColumn("_next", F.coalesce("_next", "_begin"))
     quiet = F.col("_next").isNull() | (F.col("_next") >= F.col("ts") + F.expr(f"INTERVAL {pause}"))
-    return rows.where(quiet).drop("_next")
+    return rows.where(quiet).select(*edits.columns)
 
 
 def debounce_stream(edits: DataFrame, pause: str = PAUSE, late: str = "10 seconds") -> DataFrame:

@@ -17,6 +17,7 @@ from plumbline.session import intermediate, materialize
 from plumbline.sources import sinks
 from plumbline.sources.tables import clean_path, first_rows
 from plumbline.sources.tree import SETTINGS, is_named, read_settings, read_tree
+from plumbline.streaming import debounce as debounces
 from plumbline.streaming.debounce import debounce, debounce_stream, read_edits, to_analyse
 
 # (ext, content, lines, imports, depth, repetition in per cent with blocks of 4 lines)
@@ -295,10 +296,17 @@ def test_intermediate_tables_end_with_their_scope(spark):
         df.collect()
 
 
-def test_debounce(spark, tmp_path):
+def test_debounce(spark, tmp_path, monkeypatch):
     rows = [("a", "1", 0.0), ("a", "2", 0.2), ("a", "3", 1.0), ("b", "4", 0.1), (None, "5", 0.0)]
     df = spark.createDataFrame(rows, "uri string, text string, at double").withColumn("ts", F.timestamp_seconds("at")).drop("at")
     assert {(x.uri, x.text) for x in debounce(df).collect()} == {("a", "2"), ("a", "3"), ("b", "4")}
+    r = random.Random(2)
+    times = sorted({r.randint(-5000, 5000) for _ in range(1500)})
+    many = spark.createDataFrame([("u", t) for t in times], "uri string, t int").withColumn("ts", F.timestamp_millis("t"))
+    quiet = {a for a, b in zip(times, [*times[1:], 10**9]) if b - a >= 4}
+    for stretch in (1, 3, 1000):
+        monkeypatch.setattr(debounces, "STRETCH", stretch)
+        assert {x.t for x in debounce(many, "4 milliseconds").collect()} == quiet
     src = str(tmp_path / "in")
     df.where("uri IS NOT NULL").coalesce(1).write.parquet(src)
     spark.createDataFrame([("z", "9", 1e6)], "uri string, text string, at double").withColumn("ts", F.timestamp_seconds("at")).drop("at").coalesce(1).write.mode("append").parquet(src)
