@@ -3,9 +3,9 @@
 A double is mapped to a 64-bit integer of the same order. A histogram of the leading bits
 (the day state) is small, bounded by the number of digits whatever the number of rows, and
 is combined with others by adding counts. From it any percentile follows with a relative
-error below 2**(12 - bits). radix_select goes on from there to the exact value: level by
-level it histograms the next digit of those rows only whose digits so far are the ones
-that hold a target rank.
+error below 2**(12 - bits), and radix_select goes on from rows to the exact value. Both
+select by successive digits: level by level the next digit is histogrammed of those rows,
+or entries of a state, only whose digits so far are the ones that hold a target rank.
 """
 
 from __future__ import annotations
@@ -16,8 +16,9 @@ from pyspark.sql import Window as W
 
 from plumbline.session import materialize, small
 
-#: Digits of the exact selection, from the top: 64 bits in all.
+#: Digits of the exact selection, from the top: 64 bits in all. Those of a state's bits.
 LEVELS = (24, 14, 13, 13)
+STATE_LEVELS = (12, 12)
 
 
 def with_sortable_bits(df: DataFrame, column: str, name: str) -> DataFrame:
@@ -76,13 +77,15 @@ def combine_states(states: DataFrame, keys: list[str]) -> DataFrame:
     return states.groupBy(*keys, "measure", "digit").agg(F.sum("n").alias("n"))
 
 
-def state_percentiles(states: DataFrame, keys: list[str], probs: list[float], bits: int = 24) -> DataFrame:
-    """(keys..., measure, p, value, n): value is the smallest number of the digit that holds
+def state_percentiles(states: DataFrame, keys: list[str], probs: list[float], levels: tuple[int, ...] = STATE_LEVELS) -> DataFrame:
+    """(keys..., measure, p, value, n): value is the smallest number of the digits that hold
     the smallest value whose rank is at least p * n (for negative digits likewise the
-    smallest number), so it is below the exact percentile by less than the digit's width, a
-    share of 2**(12 - bits) of the value at most. Groups without values have no row."""
-    picked = _follow(states.withColumnRenamed("n", "c"), [*keys, "measure"], _targets(probs))
-    return picked.select(*keys, "measure", "p", from_bits(F.shiftleft("digit", 64 - bits)).alias("value"), F.col("total").alias("n"))
+    smallest number), so it is below the exact percentile by less than the digits' width, a
+    share of 2**(12 - bits) of the value at most. Groups without values have no row; null
+    keys are a group. levels are the digits in which the bits of the states are followed."""
+    bits = sum(levels)
+    at = _select(states.withColumnRenamed("digit", "code").withColumnRenamed("n", "c"), [*keys, "measure"], probs, levels)
+    return at.select(*keys, "measure", "p", from_bits(F.shiftleft("prefix", 64 - bits)).alias("value"), F.col("total").alias("n"))
 
 
 def _targets(probs: list[float]) -> Column:
@@ -99,22 +102,20 @@ def _follow(hist: DataFrame, keys: list[str], targets: Column) -> DataFrame:
     return steps.select(*keys, "p", "digit", "total", (F.col("want") - (F.col("upto") - F.col("c"))).alias("rank"))
 
 
-def radix_select(rows: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
-    """(keys..., measure, p, value, n): the exact percentile, i.e. the smallest value whose
-    rank is at least p * n. rows is what long_form gives; groups without values have no
-    row; null keys are a group; ties need no care, as equal values share all digits."""
-    groups = [*keys, "measure"]
-    shift = 64 - LEVELS[0]
-    hist = rows.groupBy(*groups, F.shiftright("bits", shift).alias("digit")).agg(F.count(F.lit(1)).alias("c"))
+def _select(rows: DataFrame, groups: list[str], probs: list[float], levels: tuple[int, ...]) -> DataFrame:
+    """(groups..., p, total, prefix): the code that holds each target rank, of rows(groups...,
+    code, c) that count c times each. levels are the widths of the code's digits."""
+    shift = sum(levels) - levels[0]
+    hist = rows.groupBy(*groups, F.shiftright("code", shift).alias("digit")).agg(F.sum("c").alias("c"))
     at = materialize(_follow(hist, groups, _targets(probs)).withColumnRenamed("digit", "prefix"), "radix")
-    for width in LEVELS[1:]:
+    for width in levels[1:]:
         wanted = at.select(*groups, "prefix").distinct()
         same = [F.col(f"r.{k}").eqNullSafe(F.col(f"w.{k}")) for k in groups]
-        left = rows.withColumn("prefix", F.shiftright("bits", shift)).alias("r")
+        left = rows.withColumn("prefix", F.shiftright("code", shift)).alias("r")
         inside = left.join(small(wanted).alias("w"), [*same, F.col("r.prefix") == F.col("w.prefix")], "left_semi")
         shift -= width
-        digit = (F.shiftright("bits", shift) - F.shiftleft("prefix", width)).alias("digit")
-        hist = inside.select(*groups, "prefix", digit).groupBy(*groups, "prefix", "digit").agg(F.count(F.lit(1)).alias("c"))
+        digit = (F.shiftright("code", shift) - F.shiftleft("prefix", width)).alias("digit")
+        hist = inside.select(*groups, "prefix", digit, "c").groupBy(*groups, "prefix", "digit").agg(F.sum("c").alias("c"))
         by = W.partitionBy(*groups, "prefix").orderBy("digit").rowsBetween(W.unboundedPreceding, 0)
         hist = hist.withColumn("upto", F.sum("c").over(by)).alias("h")
         same = [F.col(f"h.{k}").eqNullSafe(F.col(f"t.{k}")) for k in [*groups, "prefix"]]
@@ -123,4 +124,12 @@ def radix_select(rows: DataFrame, keys: list[str], probs: list[float]) -> DataFr
             *[F.col(f"t.{k}").alias(k) for k in groups], "p", "total", (F.shiftleft("t.prefix", width) + F.col("digit")).alias("prefix"), (F.col("rank") - (F.col("upto") - F.col("c"))).alias("rank")
         )
         at = materialize(at, "radix")
-    return at.select(*groups, "p", from_bits(F.col("prefix")).alias("value"), F.col("total").alias("n"))
+    return at
+
+
+def radix_select(rows: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
+    """(keys..., measure, p, value, n): the exact percentile, i.e. the smallest value whose
+    rank is at least p * n. rows is what long_form gives; groups without values have no
+    row; null keys are a group; ties need no care, as equal values share all digits."""
+    at = _select(rows.withColumnRenamed("bits", "code").withColumn("c", F.lit(1).cast("long")), [*keys, "measure"], probs, LEVELS)
+    return at.select(*keys, "measure", "p", from_bits(F.col("prefix")).alias("value"), F.col("total").alias("n"))

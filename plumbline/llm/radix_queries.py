@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.radix import combine_states, digit_states, long_form, radix_select, state_percentiles
+from plumbline.llm.radix import STATE_LEVELS, combine_states, digit_states, long_form, radix_select, state_percentiles
 from plumbline.session import materialize
 from plumbline.sources.tables import clean_path, extension_of, project_of, records, table
 
 MEASURES = ["lines", "max_depth", "imports"]
 PROBS = [0.25, 0.5, 0.75, 0.9, 0.99]
-BITS = 24
+BITS = sum(STATE_LEVELS)
 
 
 def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,12 +30,12 @@ def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentiles per day and, with day null, over all days by combining the days' states."""
+    """Percentiles per day and, with day null, over all days by combining the days' states.
+    Both are selected at once, digit by digit."""
     days = materialize(_states(spark, sf_dir), "states")
-    every = combine_states(days, ["grouping", "name"])
-    a = state_percentiles(days, ["grouping", "name", "day"], PROBS, BITS)
-    b = state_percentiles(every, ["grouping", "name"], PROBS, BITS)
-    return a.unionByName(b.select("grouping", "name", F.lit(None).cast("date").alias("day"), "measure", "p", "value", "n"))
+    every = combine_states(days, ["grouping", "name"]).withColumn("day", F.lit(None).cast("date")).withColumn("whole", F.lit(True))
+    both = materialize(days.withColumn("whole", F.lit(False)).unionByName(every), "states")
+    return state_percentiles(both, ["grouping", "name", "day", "whole"], PROBS).drop("whole")
 
 
 def exact_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,6 +38,8 @@ def test_percentiles_by_day_combined_and_exact(spark):
     days = digit_states(rows, ["g", "day"])
     both = {("day", x.g, x.day, x.p): x for x in state_percentiles(days, ["g", "day"], probs).collect()}
     both |= {("all", x.g, None, x.p): x for x in state_percentiles(combine_states(days, ["g"]), ["g"], probs).collect()}
+    one = state_percentiles(combine_states(days, ["g"]), ["g"], probs, (24,))
+    assert {tuple(x) for x in one.collect()} == {tuple(x) for x in state_percentiles(combine_states(days, ["g"]), ["g"], probs, (8, 8, 8)).collect()}
     exact = {(x.g, x.p): x for x in radix_select(rows, ["g"], probs).collect()}
     for (kind, g, day, p), x in both.items():
         xs = [d[2] for d in data if d[0] == g and d[2] is not None and (kind == "all" or d[1] == day)]
