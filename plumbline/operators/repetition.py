@@ -24,9 +24,10 @@ def windows(rows: DataFrame) -> DataFrame:
     """(path, start_line, end_line, window, chunk): every run of `window` consecutive code lines of
     rows(path, at, hashes, window), as scan.measured gives them. Equal chunks mean equal
     code. Cut within the row, so nothing is shuffled."""
-    each = rows.select("path", "at", "window", F.explode_outer(_chunks()).alias("c")).where("c IS NOT NULL")
-    start = F.get("at", F.col("c.i") - 1)
-    return each.select("path", start.alias("start_line"), F.get("at", (F.col("c.i") + F.col("window") - 2).cast("int")).alias("end_line"), F.col("window").cast("int").alias("window"), F.col("c.chunk").alias("chunk"))
+    # the lines go into the window, as every row of the explosion would carry the array of all
+    lines = lambda c: F.struct(F.get("at", c["i"] - 1).alias("start_line"), F.get("at", (c["i"] + F.col("window") - 2).cast("int")).alias("end_line"), c["chunk"].alias("chunk"))
+    each = rows.select("path", "window", F.explode_outer(F.transform(_chunks(), lines)).alias("c")).where("c IS NOT NULL")
+    return each.select("path", "c.start_line", "c.end_line", F.col("window").cast("int").alias("window"), "c.chunk")
 
 
 def with_local_repetition(rows: DataFrame) -> DataFrame:
